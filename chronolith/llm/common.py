@@ -38,8 +38,14 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it on its own sys.path only."""
+#: Rows in an Arrow batch, so that a batch of very long texts still fits a worker's memory.
+ARROW_ROWS = 500
+
+
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers import this package when the driver found it on its own sys.path only; bounds their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality
+from . import exact_dedup, language_id, packing, quality
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_quality_rules": quality.query,
+    "op8_language_id": language_id.query,
+    "op10_best_fit_packing": packing.query,
 }
 
 ORACLES = {
