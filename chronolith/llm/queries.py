@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality
+from . import exact_dedup, language_id, packing, pii, quality
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_quality_rules": quality.query,
+    "op7_pii": pii.query,
     "op8_language_id": language_id.query,
     "op10_best_fit_packing": packing.query,
 }
