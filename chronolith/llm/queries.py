@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, pii, quality
+from . import exact_dedup, html_extract, language_id, packing, pii, quality, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.query,
+    "op4_html_extract": html_extract.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_quality_rules": quality.query,
     "op7_pii": pii.query,
