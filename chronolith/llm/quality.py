@@ -42,9 +42,9 @@ THRESHOLDS = (
     Threshold("symbols per word", "symbol_ratio", None, 0.3),
     Threshold("longest word", "max_word_chars", None, 1000),
     Threshold("duplicate lines", "dup_line_ratio", None, 0.3, 20),
-    Threshold("words with a letter", "alpha_word_ratio", 0.6, None, 20),
-    Threshold("words in capitals", "caps_ratio", None, 0.7, 20),
-    Threshold("stop words", "stop_word_ratio", 0.02, None, 60),
+    Threshold("letters", "letter_ratio", 0.5, None, 20),
+    Threshold("capital letters", "capital_ratio", None, 0.6, 20),
+    Threshold("stop words", "stop_word_ratio", 0.01, None, 60),
 )
 
 
@@ -56,13 +56,17 @@ def _once(value: Column, use) -> Column:
 def _repeat_words(words: Column) -> Column:
     """The number of words in windows of WINDOW words that are found twice or more.
 
-    Windows are sorted by (part of their hash, position) as plain longs; positions whose hash part has a neighbour are
-    candidates, and only these compare their words. The words covered are summed over the gaps of the found positions.
+    Texts whose windows all have distinct 64-bit hashes have none. In others, windows are sorted by (part of their hash,
+    position) as plain longs; positions whose hash part has a neighbour are candidates, and only these compare their
+    words. The words covered are summed over the gaps of the found positions.
     """
     low = (1 << POSITION_BITS) - 1
 
-    def candidates(ws: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(ws) - WINDOW), lambda i: F.xxhash64(F.slice(ws, i + 1, WINDOW)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    def hashes(ws: Column) -> Column:
+        return _once(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(WINDOW)))))
+
+    def candidates(hs: Column) -> Column:
+        keys = F.transform(hs, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
         high = lambda x: F.shiftright(x, POSITION_BITS)
         return _once(F.sort_array(keys), lambda s: F.transform(F.filter(s, lambda x, i: ((i > 0) & (high(F.get(s, i - 1)) == high(x))) | (high(F.get(s, i + 1)) == high(x)).eqNullSafe(True)), lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
 
@@ -74,10 +78,12 @@ def _repeat_words(words: Column) -> Column:
     def covered(at: Column) -> Column:
         return _once(F.sort_array(at), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x))
 
+    none = F.lit(0).cast("long")
+
     def count(ws: Column) -> Column:
-        return _once(candidates(ws), lambda at: F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(covered(found(ws, at))))
+        return _once(hashes(ws), lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(_once(candidates(hs), lambda at: covered(found(ws, at)))))
 
-    return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(_once(words, count))
+    return F.when(F.size(words) < WINDOW, none).otherwise(_once(words, count))
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -85,7 +91,7 @@ def measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS.split()))))
+    stop = sorted(set(STOP_WORDS.split()))
     return {
         "words": words,
         "n_words": F.size(words).cast("long"),
@@ -94,9 +100,9 @@ def measures(text: Column) -> dict[str, Column]:
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_alpha_words": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("long"),
-        "n_caps_words": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).cast("long"),
-        "n_stop_words": F.size(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.array_contains(stop, w))).cast("long"),
+        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long"),
+        "n_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).cast("long"),
     }
 
 
@@ -106,8 +112,8 @@ RATIOS = {
     "symbol_ratio": "n_symbols / n_words",
     "max_word_chars": "max_word_chars",
     "dup_line_ratio": "n_dup_lines / n_lines",
-    "alpha_word_ratio": "n_alpha_words / n_words",
-    "caps_ratio": "n_caps_words / n_words",
+    "letter_ratio": "n_letters / word_chars",
+    "capital_ratio": "n_capitals / n_letters",
     "stop_word_ratio": "n_stop_words / n_words",
 }
 
@@ -153,14 +159,13 @@ m AS (
   SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(c.n, 0) AS n_repeat_words, coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS max_word_chars,
-         len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words,
-         len(list_filter(ws, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS n_caps_words,
-         len(list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda x: x IN ({_STOP_SQL}))) AS n_stop_words
+         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals,
+         len(list_filter(ws, lambda x: lower(x) IN ({_STOP_SQL}))) AS n_stop_words
   FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (
   word_chars / n_words NOT BETWEEN 1.5 AND 15.0 OR n_symbols / n_words > 0.3 OR max_word_chars > 1000
-  OR (n_words >= 20 AND (coalesce(n_dup_lines / nullif(n_lines, 0), 0) > 0.3 OR n_alpha_words / n_words < 0.6 OR n_caps_words / n_words > 0.7))
-  OR (n_words >= 60 AND n_stop_words / n_words < 0.02)) AS kept
+  OR (n_words >= 20 AND (coalesce(n_dup_lines / nullif(n_lines, 0), 0) > 0.3 OR n_letters / word_chars < 0.5 OR coalesce(n_capitals / nullif(n_letters, 0), 0) > 0.6))
+  OR (n_words >= 60 AND n_stop_words / n_words < 0.01)) AS kept
 FROM b
 """
