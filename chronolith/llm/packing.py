@@ -29,8 +29,10 @@ from .common import ready, table, written
 CAPACITY = 4096
 END_ID = 1
 #: Cached words per worker, and the longest word that is cached, in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 400_000, 64
-_CACHE: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+CACHE_WORDS, CACHE_WORD_BYTES = 1_500_000, 64
+#: A control character that stands between words that are encoded together, on its own between spaces.
+_MARK = "\x01"
+_CACHE: dict[str, tuple[object, int | None, dict[bytes, bytes]]] = {}
 
 
 def default_tokenizer() -> str:
@@ -39,27 +41,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _opened(path: str) -> tuple[object, int | None, dict[bytes, bytes]]:
+    if path not in _CACHE:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        marks = tokenizer.encode(_MARK, add_special_tokens=False).ids
+        _CACHE[path] = tokenizer, marks[0] if len(marks) == 1 else None, {}
+    return _CACHE[path]
+
+
+def _encoded(words: list[bytes], tokenizer, mark: int | None) -> list[bytes]:
+    """The packed ids of words without white space, each as if it stood alone."""
+    plain = [mark is not None and b"\x01" not in w and b"<|" not in w for w in words]
+    joined = f" {_MARK} ".join(w.decode("utf-8") for w, ok in zip(words, plain, strict=True) if ok)
+    ids = np.asarray(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+    ends = np.append(np.flatnonzero(ids == mark) if mark is not None else [], len(ids)).astype(int).tolist()
+    packed, at, out = ids.tobytes(), 0, []
+    cuts = iter(ends)
+    for w, ok in zip(words, plain, strict=True):
+        if ok:
+            end = next(cuts)
+            out.append(packed[4 * at : 4 * end])
+            at = end + 1
+        else:
+            out.append(np.asarray(tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes())
+    return out
+
+
 def packed_ids(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so words between ASCII white space are encoded on their
     own, each distinct word once.
     """
-    if path not in _CACHE:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _CACHE[path] = Tokenizer.from_file(path), {}
-    tokenizer, cache = _CACHE[path]
+    tokenizer, mark, cache = _opened(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     words = [(t or "").encode("utf-8").split() for t in texts]
-    missing = list(set().union(*words) - cache.keys())
+    missing = [w for w in set().union(*words) if w not in cache]
     long: dict[bytes, bytes] = {}
-    for at in range(0, len(missing), 1000):
-        some = missing[at : at + 1000]
-        for w, e in zip(some, tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-            (cache if len(w) <= CACHE_WORD_BYTES else long)[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+    for at in range(0, len(missing), 500):
+        some = missing[at : at + 500]
+        for w, ids in zip(some, _encoded(some, tokenizer, mark), strict=True):
+            (cache if len(w) <= CACHE_WORD_BYTES else long)[w] = ids
     if long:
         return [b"".join([cache[w] if w in cache else long[w] for w in ws]) for ws in words]
     get = cache.__getitem__
