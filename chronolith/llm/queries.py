@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, packing, pii, quality, url_filter
+from . import exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_html_extract": html_extract.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_quality_rules": quality.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
 }
