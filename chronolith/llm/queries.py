@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality, url_filter
+from . import exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
     "op2_url_filter": url_filter.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_html_extract": html_extract.query,
