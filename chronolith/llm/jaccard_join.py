@@ -10,7 +10,7 @@ similarity t shares, under ANY global order of the tokens, a token among the fir
    set is verified against one pivot, the fullest common set of most of its lists, so a group of k near copies costs k
    verifications. Verified links make components.
 3. Rest. Only pairs across components remain. At the first prefix token that two sets share, everything they have in
-   common comes at or after it, so with the same pivot p the overlap is at most min(|x & p|, |y & p|) + min(|x - p|,
+   common comes at or after it, so with the list's pivot p the overlap is at most min(|x & p|, |y & p|) + min(|x - p|,
    |y - p|) from there on; pairs that cannot reach t go. What is left must also share prefix tokens under two further
    orders (rarity classes with keyed hashes), and is then verified. No pair of linked sets is lost, and none is capped.
 
@@ -128,7 +128,7 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterato
             else:  # a copy within the block, or an empty set
                 places.append(None)
             digests.append(digest)
-        yield _rows(_PACKED_ARROW, batch.num_rows, bucket=[block() % buckets] * batch.num_rows, block=[block()] * batch.num_rows, id=batch.column(0), place=places, digest=digests, n=np.diff(offsets))
+        yield _rows(_PACKED_ARROW, batch.num_rows, bucket=[xxhash.xxh32_intdigest(str(block())) % buckets] * batch.num_rows, block=[block()] * batch.num_rows, id=batch.column(0), place=places, digest=digests, n=np.diff(offsets))
         if total >= BLOCK_TOKENS:
             yield from packed()
             seen, sets, total, made = {}, [], 0, made + 1
@@ -316,25 +316,33 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     pivots = postings.groupBy("token").agg(F.max(F.struct("fullness", "digest")).alias("top"), F.count(F.lit(1)).alias("listed")).where("listed > 1").select("token", "top")
     votes = postings.join(pivots, "token").groupBy("digest", F.col("top.digest").alias("pivot"), F.col("top.fullness").alias("fullness")).agg(F.count(F.lit(1)).alias("lists"))
     choice = votes.groupBy("digest").agg(F.max(F.struct("lists", "fullness", "pivot")).alias("best")).select("digest", "best.pivot")
-    left = nodes.select("digest", "n", "tokens").join(choice, "digest")
-    right = nodes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"))
-    pairs = left.join(right, "pivot").select("digest", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
-    stars = written(pairs.mapInArrow(partial(_stars, percent=percent), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean"), "jaccard-stars")
-    first = written(stars.where("linked").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-links")
+    stars = written(_against(nodes, choice, percent), "jaccard-stars")
+
+    # Lists in which all sets are linked to one pivot are done. In the others, each set is also held against the list's
+    # most frequent pivot, so that all of a list's sets are known relative to one set.
+    near = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("digest"))
+    open_ = stars.groupBy("token").agg(F.min(near).alias("low"), F.max(near).alias("high")).where("low <> high").select("token")
+    held = stars.join(open_, "token")
+    tops = held.groupBy("token", "pivot").agg(F.count(F.lit(1)).alias("sets")).groupBy("token").agg(F.max(F.struct("sets", "pivot")).alias("top")).select("token", "top.pivot")
+    lists = written(held.withColumnRenamed("pivot", "own").join(tops, "token"), "jaccard-lists")
+    others = written(_against(nodes, lists.where("own <> pivot").select("digest", "pivot").distinct(), percent), "jaccard-stars")
+    links = stars.where("linked").select("digest", "pivot").unionByName(others.where("linked").select("digest", "pivot"))
+    first = written(links.select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-links")
 
     # Only lists with sets of several components can add a link; the sets outside the list's main component probe it.
     root = components(first, "a", "b")
-    entries = stars.drop("linked").join(root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    columns = ["token", "digest", "n", "common", "further"]
+    entries = lists.where("own = pivot").select(columns).unionByName(lists.where("own <> pivot").select("token", "digest", "pivot").join(others, ["token", "digest", "pivot"]).select(columns))
+    entries = entries.join(root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     entries = written(entries, "jaccard-entries")
     mixed = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.struct("common", "n")).alias("main")).where("low <> high").select("token", "main")
-    open_ = entries.join(mixed, "token")
-    x = open_.where("root <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("digest", "n", "pivot", "common", "further", "root")))
-    y = open_.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("digest", "n", "pivot", "common", "further", "root")))
+    probed = entries.join(mixed, "token")
+    x = probed.where("root <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("digest", "n", "common", "further", "root")))
+    y = probed.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("digest", "n", "common", "further", "root")))
     most = F.least("x_common", "y_common") + F.least("x_further", "y_further")
-    sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
-    reach = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
+    reach = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)  # also bounds the ratio of the sizes
     once = (F.col("y_root") == F.col("main")) | (F.col("x_digest") < F.col("y_digest"))
-    found = x.join(y, "token").where((F.col("x_root") != F.col("y_root")) & once & sizes & ((F.col("x_pivot") != F.col("y_pivot")) | reach))
+    found = x.join(y, "token").where((F.col("x_root") != F.col("y_root")) & once & reach)
     found = written(found.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")).distinct(), "jaccard-candidates")
     a = nodes.select(F.col("digest").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"), F.col("dfs").alias("a_dfs"))
     b = nodes.select(F.col("digest").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"), F.col("dfs").alias("b_dfs"))
@@ -342,6 +350,14 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     return written(first.unionByName(second), "jaccard-links")
 
 
+def _against(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Each set of the pairs (digest, pivot) held against the pivot, from each of its prefix tokens on."""
+    left = nodes.select("digest", "n", "tokens").join(pairs, "digest")
+    right = nodes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"))
+    rows = left.join(right, "pivot").select("digest", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
+    return rows.mapInArrow(partial(_stars, percent=percent), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean")
+
+
 def _named(sets: DataFrame, label: DataFrame) -> DataFrame:
     """The component of each row, by its set; heavy sets are broadcast, so that a hot group is not one task's."""
     docs = sets.select("id", "digest", F.col("n").alias("n_shingles"))
