@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, jaccard_join, language_id, packing, pii, quality, sentencepiece_codec, url_filter
+from . import exact_dedup, html_extract, jaccard_join, language_id, language_model, packing, pii, quality, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_pii": pii.query,
     "op8_language_id": language_id.query,
+    "op9_language_model": language_model.query,
     "op10_best_fit_packing": packing.query,
 }
 
