@@ -33,7 +33,7 @@ from .common import ready, table
 
 SEED, DROPOUT, VARIANTS = 20240601, 0.1, 4
 #: Cached segmentations per worker, and the longest stretch that is cached or merged by a linear agenda, in characters.
-CACHE_SIZE, SHORT = 1_200_000, 40
+CACHE_SIZE, SHORT = 2_400_000, 40
 _SPACE = "▁"
 _STRETCH = re.compile(r"[^ ]+| +[^ ]*")
 _BARRIER = re.compile(f"([\n{_SPACE}])")
@@ -82,9 +82,8 @@ class Codec:
 
     def _skips(self, key: int, left: int, end: int) -> bool:
         """Whether the merge of symbols that begin at `left` and end at `end` is dropped."""
-        h = (key ^ (left * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F)) & _MASK
-        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & _MASK
-        return (h >> 32) < self.limit
+        h = (key ^ (left << 32) ^ end) * 0xBF58476D1CE4E5B9 & _MASK
+        return (h ^ h >> 29) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF < self.limit
 
     def _packed(self, parts: list[str]) -> bytes:
         ids = self.ids
@@ -100,13 +99,19 @@ class Codec:
         return self._packed(self._linear(text, key) if len(text) <= SHORT else self._heap(text, key))
 
     def _linear(self, text: str, key: int) -> list[str]:
-        rank, parts, ends = self.rank.get, list(text), list(range(1, len(text) + 1))
-        todo = [rank(text[i : i + 2], _NONE) for i in range(len(text) - 1)]
-        while todo and (best := min(todo)) < _NONE:
+        # The inner loop of the encoder: _skips is written out, and of the ends only those of the symbols that are left count.
+        rank, limit, parts, ends = self.rank.get, self.limit, list(text), list(range(1, len(text) + 1))
+        todo = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while todo:
+            best = min(todo)
+            if best == _NONE:
+                break
             k = todo.index(best)
-            if self.limit and self._skips(key, ends[k] - len(parts[k]), ends[k + 1]):
-                todo[k] = _NONE
-                continue
+            if limit:
+                h = (key ^ (ends[k - 1] if k else 0) << 32 ^ ends[k + 1]) * 0xBF58476D1CE4E5B9 & _MASK
+                if (h ^ h >> 29) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF < limit:
+                    todo[k] = _NONE
+                    continue
             parts[k] += parts.pop(k + 1)
             del ends[k], todo[k]
             if k:
