@@ -34,7 +34,7 @@ from .store import get_arrays, put_arrays
 END = b"\n"  # no word holds it
 DISCOUNT, LEAST_PAIR = 0.75, 2
 #: Tokens that a task counts or scores at a time.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 #: Lowest back-off weight as log10, at the top of 16 bits.
 _BACKOFF_FLOOR = -6.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
