@@ -1,0 +1 @@
+"""Incremental and streaming forms of the history."""
