@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,

@@ -141,3 +141,34 @@ def judged(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col
 def query(spark, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return out.drop("tokens").withColumnRenamed("id", "page_id")
+
+
+def _suffixes(host: str) -> str:
+    return f"list_transform(range(1, len(string_split({host}, '.')) + 1), lambda i: 'host=' || array_to_string(list_filter(string_split({host}, '.'), lambda x: x <> '')[i:], '.'))"
+
+
+def _combined(n: int) -> str:
+    """Token sets of n tokens, as joins of a page's tokens in order."""
+    names = [f"t{k}" for k in range(n)]
+    joins = "".join(f" JOIN tok t{k} ON t{k}.page_id = t0.page_id AND t{k}.token > t{k - 1}.token" for k in range(1, n))
+    return f"SELECT t0.page_id, [{', '.join(f'{x}.token' for x in names)}] AS c FROM tok t0{joins}"
+
+
+#: Rules by enumeration of all token sets of up to four tokens.
+ORACLE = rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, rule, rule_verdict) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.text}', '{r.verdict}')" for r in RULES)}),
+fixed AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS verdict FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+parts AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> '') AS ps, regexp_extract(path, '\.([A-Za-z0-9]{{1,5}})$', 1) AS ending, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM h),
+lists AS (SELECT page_id, list_distinct(CASE WHEN host <> '' THEN {_suffixes("host")} ELSE [] END || list_transform(ps[1:2], lambda x: 'path=' || x) || CASE WHEN ending <> '' THEN ['end=' || ending] ELSE [] END
+  || list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: 'key=' || string_split(x, '=')[1])) AS tokens FROM parts),
+tok AS (SELECT page_id, unnest(tokens) AS token FROM lists),
+bad AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+n AS (SELECT count(*) AS n FROM lists JOIN bad USING (page_id) WHERE bad IS NOT NULL AND len(tokens) > 0),
+combos AS ({" UNION ALL ".join(_combined(k) for k in (1, 2, 3, 4))}),
+good AS (SELECT c FROM combos JOIN bad USING (page_id) WHERE bad IS NOT NULL GROUP BY c HAVING sum(bad) >= greatest(0.002 * (SELECT n FROM n), 20) AND sum(bad) / count(*) >= 0.8),
+hit AS (SELECT DISTINCT page_id FROM combos JOIN good USING (c))
+SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fixed f ON f.page_id = h.page_id LEFT JOIN hit ON hit.page_id = h.page_id
+"""
