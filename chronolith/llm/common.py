@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 #: ASCII white space; words are maximal runs of everything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -43,13 +49,30 @@ ARROW_ROWS = 500
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it on its own sys.path only; bounds their batches."""
+    """Lets Python workers import this package, and bounds their batches."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; a worker lives on after its task and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function of batches that releases its memory when its task ends."""
+
+    def run_and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return run_and_release
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import ready, table, tidied
 from .quality import STOP_WORDS
 
 # Elements by role.
@@ -218,7 +218,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: id, url, text, n_chars."""
     ready(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")
+    return rows.mapInArrow(tidied(_extract), f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ready, shuffle_partitions, table, written
+from .common import fresh, ready, release_memory, shuffle_partitions, table, tidied, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Tokens that a task packs at a time, and hash buckets for each shuffle partition.
-BLOCK_TOKENS, BUCKETS_PER_PARTITION = 2_000_000, 3
+BLOCK_TOKENS, BUCKETS_PER_PARTITION = 1_000_000, 3
 #: Copies of one set are heavy from this share of the rows on: at most so many sets, which may be broadcast.
 HEAVY_SHARE = 1000
 _LOW = np.uint64((1 << 56) - 1)
@@ -91,7 +91,7 @@ def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     """A row per document (its block, place in the block, digest, set size) and a row per block and bucket (its tokens)."""
     task, made = TaskContext.get().partitionId(), 0
     seen: dict[bytes, int] = {}
@@ -129,7 +129,7 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterato
                 places.append(None)
             digests.append(digest)
         yield _rows(_PACKED_ARROW, batch.num_rows, bucket=[xxhash.xxh32_intdigest(str(block())) % buckets] * batch.num_rows, block=[block()] * batch.num_rows, id=batch.column(0), place=places, digest=digests, n=np.diff(offsets))
-        if total >= BLOCK_TOKENS:
+        if total >= block_tokens:
             yield from packed()
             seen, sets, total, made = {}, [], 0, made + 1
     if sets:
@@ -295,14 +295,23 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([c[0].filter(pa.array(keep, pa.bool_())), c[1].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
     ready(spark)
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_pack, size=size, buckets=buckets), _PACKED)
-    sent = packed.groupBy("bucket").applyInArrow(_count, _SENT)
-    sets = written(sent.groupBy("block").applyInArrow(lambda group: _gather(group, percent), _SETS), "jaccard-sets")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(partial(_pack, size=size, buckets=buckets, block_tokens=block_tokens)), _PACKED)
+
+    def count(group: pa.Table) -> pa.Table:
+        release_memory()  # of the group before
+        return _count(group)
+
+    def gather(group: pa.Table) -> pa.Table:
+        release_memory()
+        return _gather(group, percent)
+
+    sent = packed.groupBy("bucket").applyInArrow(count, _SENT)
+    sets = written(sent.groupBy("block").applyInArrow(gather, _SETS), "jaccard-sets")
 
     nodes = written(sets.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs")), "jaccard-nodes")
     links = _links(nodes, percent)
@@ -312,7 +321,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _links(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of digests that connect all sets that links connect."""
-    postings = nodes.mapInArrow(partial(_list, percent=percent), "token long, digest binary, fullness double")
+    postings = nodes.mapInArrow(tidied(partial(_list, percent=percent)), "token long, digest binary, fullness double")
     pivots = postings.groupBy("token").agg(F.max(F.struct("fullness", "digest")).alias("top"), F.count(F.lit(1)).alias("listed")).where("listed > 1").select("token", "top")
     votes = postings.join(pivots, "token").groupBy("digest", F.col("top.digest").alias("pivot"), F.col("top.fullness").alias("fullness")).agg(F.count(F.lit(1)).alias("lists"))
     choice = votes.groupBy("digest").agg(F.max(F.struct("lists", "fullness", "pivot")).alias("best")).select("digest", "best.pivot")
@@ -346,7 +355,7 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     found = written(found.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")).distinct(), "jaccard-candidates")
     a = nodes.select(F.col("digest").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"), F.col("dfs").alias("a_dfs"))
     b = nodes.select(F.col("digest").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"), F.col("dfs").alias("b_dfs"))
-    second = found.join(a, "a").join(b, "b").select("a", "b", "a_n", "a_tokens", "a_dfs", "b_n", "b_tokens", "b_dfs").mapInArrow(partial(_verify, percent=percent), "a binary, b binary")
+    second = found.join(a, "a").join(b, "b").select("a", "b", "a_n", "a_tokens", "a_dfs", "b_n", "b_tokens", "b_dfs").mapInArrow(tidied(partial(_verify, percent=percent)), "a binary, b binary")
     return written(first.unionByName(second), "jaccard-links")
 
 
@@ -355,7 +364,7 @@ def _against(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     left = nodes.select("digest", "n", "tokens").join(pairs, "digest")
     right = nodes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"))
     rows = left.join(right, "pivot").select("digest", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
-    return rows.mapInArrow(partial(_stars, percent=percent), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean")
+    return rows.mapInArrow(tidied(partial(_stars, percent=percent)), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean")
 
 
 def _named(sets: DataFrame, label: DataFrame) -> DataFrame:

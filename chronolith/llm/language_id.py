@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ready, table
+from .common import fresh, ready, table, tidied
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -114,7 +114,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> tup
         return [], np.zeros((0, BUCKETS + 1), np.float32)
     limits = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
     drawn = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1_000_000)) < F.coalesce(limits[F.col("lang")], F.lit(0))).select("text", "lang")
-    parts = drawn.mapInArrow(_count, "lang string, counts binary")
+    parts = drawn.mapInArrow(tidied(_count), "lang string, counts binary")
     found = sorted(parts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect(), key=lambda r: r["lang"])
     if not found:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
@@ -156,7 +156,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     logs = docs.sparkSession.sparkContext.broadcast(matrix)
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_scorer(langs, logs), f"id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(_scorer(langs, logs)), f"id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
@@ -174,7 +174,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*batch.columns, *out.columns], names=[*batch.schema.names, pred, score])
 
     schema = docs.limit(0).withColumn(pred, F.lit("")).withColumn(score, F.lit(0.0)).schema
-    rows = docs.mapInArrow(score_rows, schema)
+    rows = docs.mapInArrow(tidied(score_rows), schema)
     good = rows.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score))
     return good.withColumn(lang_col, F.coalesce(lang_col, pred)).select(docs.columns)
 

@@ -9,7 +9,7 @@ searching the successors of its context.
 
 p(w | c) = max(n(cw) - D, 0) / n(c) + b(c) p(w) for pairs kept, b(c) p(w) else, where b(c) is the mass left over and
 p(w) = (n(w) + 1) / (N + V + 1). The first word of a text has no context. Contexts with a large share of all words are
-spread over the shards by pair.
+spread over the shards by pair (those with over `hot` words, a quarter of a shard's share unless given).
 
 Defined results: a null or empty text is the end token alone; a null identifier counts as the empty string for the fold;
 repeated rows get equal scores; with no training text all words are unknown and the model is uniform over one unknown
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import new_path, ready, shuffle_partitions, table
+from .common import new_path, ready, shuffle_partitions, table, tidied
 from .store import get_arrays, put_arrays
 
 END = b"\n"  # no word holds it
@@ -44,17 +44,17 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
-    """(documents, their tokens), blocks of about BLOCK_TOKENS; a document may go on in the next block."""
+def _tokens(texts: list[str | None], most: int) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
+    """(documents, their tokens), blocks of about `most` tokens; a document may go on in the next block."""
     docs, parts, total = [], [], 0
     for k, text in enumerate(texts):
         words = [*(text.encode("utf-8").lower().split() if text else []), END]
-        for at in range(0, len(words), BLOCK_TOKENS):
-            part = words[max(0, at - 1) : at + BLOCK_TOKENS]  # from the context on
+        for at in range(0, len(words), most):
+            part = words[max(0, at - 1) : at + most]  # from the context on
             docs.append((k, at > 0))
             parts.append(part)
             total += len(part)
-            if total >= BLOCK_TOKENS:
+            if total >= most:
                 yield np.array(docs), parts
                 docs, parts, total = [], [], 0
     if parts:
@@ -75,7 +75,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
     """Tokens of batches gathered until a block is full; documents are numbered over the block's batches by the caller."""
     texts: list[str | None] = []
     size = 0
@@ -83,18 +83,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np
         for t in batch.column(column).to_pylist():
             texts.append(t)
             size += len(t or "") // 6
-            if size >= BLOCK_TOKENS:
-                yield from _tokens(texts)
+            if size >= most:
+                yield from _tokens(texts, most)
                 texts, size = [], 0
     if texts:
-        yield from _tokens(texts)
+        yield from _tokens(texts, most)
 
 
 # -- level one ------------------------------------------------------------------------------------------------------
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for docs, parts in _blocks(batches, 0):
+def _count_words(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    for docs, parts in _blocks(batches, 0, most):
         distinct, which, first = _hashed(parts)
         counts = np.bincount(which, minlength=len(distinct))
         carried = first[docs[:, 1].astype(bool)]  # contexts that the block before has counted
@@ -137,10 +137,11 @@ def _opened(uri: str) -> tuple[dict, dict] | None:
 class _Model:
     """The levels as a worker sees them."""
 
-    def __init__(self, root: str, bases: list[int], buckets: int, shards: int, tokens: int):
+    def __init__(self, root: str, bases: list[int], buckets: int, shards: int, tokens: int, block_tokens: int = BLOCK_TOKENS, hot: int | None = None):
         self.root, self.bases, self.buckets, self.shards = root, bases, buckets, shards
         self.tokens, self.vocabulary = tokens, bases[-1]
-        self.hot = max(1000, tokens // (4 * shards))
+        self.block_tokens = block_tokens
+        self.hot = max(1000, tokens // (4 * shards)) if hot is None else hot
 
     def words(self, distinct: np.ndarray, backoff: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of ascending hashes: number (-1: unknown), count, log10 of the back-off weight."""
@@ -221,7 +222,7 @@ def _paired(model: _Model, parts: list[list[bytes]], backoff: bool) -> tuple:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     model = make()
-    for _, parts in _blocks(batches, 0):
+    for _, parts in _blocks(batches, 0, model.block_tokens):
         ids, counts, _, which, _, inner = _paired(model, parts, False)
         c, w = which[inner - 1], which[inner]
         often = (counts[c] >= LEAST_PAIR) & (counts[w] >= LEAST_PAIR)
@@ -298,25 +299,25 @@ def _write_backoff(group: pa.Table, root: str, bases: list[int]) -> pa.Table:
     return pa.table({"bucket": pa.array([b], pa.int32())})
 
 
-def train(docs: DataFrame, text_col: str = "text"):
+def train(docs: DataFrame, text_col: str = "text", block_tokens: int = BLOCK_TOKENS, hot: int | None = None):
     """Builds the trie of the documents in the shared folder; returns a function that opens it on a worker."""
     spark = docs.sparkSession
     ready(spark)
     root, buckets = new_path(spark, "lm"), shuffle_partitions(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    words = texts.mapInArrow(partial(_count_words, buckets=buckets), "bucket int, hashes binary, counts binary")
+    words = texts.mapInArrow(tidied(partial(_count_words, buckets=buckets, most=block_tokens)), "bucket int, hashes binary, counts binary")
     found = {r["bucket"]: r for r in words.groupBy("bucket").applyInArrow(lambda group: _write_words(group, root), "bucket int, words long, tokens long, most long").collect()}
     sizes = [found[b]["words"] if b in found else 0 for b in range(buckets)]
     bases = [0, *np.cumsum(sizes).tolist()]
     tokens = sum(r["tokens"] for r in found.values())
     if bases[-1] >= 1 << 32:
         raise ValueError("the trie numbers words with 32 bits")
-    make = partial(_Model, root, bases, buckets, buckets, tokens)
+    make = partial(_Model, root, bases, buckets, buckets, tokens, block_tokens, hot)
     if tokens:
         vocabulary = bases[-1]
-        pairs = texts.mapInArrow(partial(_count_pairs, make=make), "shard int, heads binary, sizes binary, words binary, counts binary, totals binary")
+        pairs = texts.mapInArrow(tidied(partial(_count_pairs, make=make)), "shard int, heads binary, sizes binary, words binary, counts binary, totals binary")
         masses = pairs.groupBy("shard").applyInArrow(lambda group: _write_pairs(group, root, vocabulary, tokens), "contexts binary, masses binary")
-        rows = masses.mapInArrow(partial(_by_bucket, bases=bases), "bucket int, contexts binary, masses binary")
+        rows = masses.mapInArrow(tidied(partial(_by_bucket, bases=bases)), "bucket int, contexts binary, masses binary")
         rows.groupBy("bucket").applyInArrow(lambda group: _write_backoff(group, root, bases), "bucket int").collect()
     return make
 
@@ -328,7 +329,7 @@ def _score_texts(texts: list[str | None], model: _Model) -> tuple[np.ndarray, np
     """Of each text: tokens, known tokens, base score, score."""
     out = np.zeros((4, len(texts)))
     scale = np.log10(model.tokens + model.vocabulary + 1)
-    for docs, parts in _tokens(texts):
+    for docs, parts in _tokens(texts, model.block_tokens):
         ids, counts, weights, which, first, inner = _paired(model, parts, True)
         unigram = np.log10(counts + 1.0) - scale
         logs = unigram[which].copy()
@@ -364,7 +365,7 @@ def _score(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept.append(batch)
         size += batch.nbytes // 6
-        if size >= BLOCK_TOKENS:
+        if size >= model.block_tokens:
             yield done()
             kept, size = [], 0
     if kept:
@@ -376,7 +377,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     make = train(docs.where(~held_out(F.col(id_col))), text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_score, make=make), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(tidied(partial(_score, make=make)), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, table, written
+from .common import ready, table, tidied, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Cached words per worker, and the longest word that is cached, in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 1_500_000, 64
+#: Words in a generation of a worker's cache, which has two, and the longest word that is cached, in bytes.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 #: A control character that stands between words that are encoded together, on its own between spaces.
 _MARK = "\x01"
-_CACHE: dict[str, tuple[object, int | None, dict[bytes, bytes]]] = {}
+_CACHE: dict[str, tuple[object, int | None, list[dict[bytes, bytes]]]] = {}
 
 
 def default_tokenizer() -> str:
@@ -41,14 +41,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _opened(path: str) -> tuple[object, int | None, dict[bytes, bytes]]:
+def _opened(path: str) -> tuple[object, int | None, list[dict[bytes, bytes]]]:
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         marks = tokenizer.encode(_MARK, add_special_tokens=False).ids
-        _CACHE[path] = tokenizer, marks[0] if len(marks) == 1 else None, {}
+        _CACHE[path] = tokenizer, marks[0] if len(marks) == 1 else None, [{}, {}]
     return _CACHE[path]
 
 
@@ -70,17 +70,21 @@ def _encoded(words: list[bytes], tokenizer, mark: int | None) -> list[bytes]:
     return out
 
 
-def packed_ids(texts: list[str | None], path: str) -> list[bytes]:
+def packed_ids(texts: list[str | None], path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so words between ASCII white space are encoded on their
-    own, each distinct word once.
+    own, each distinct word once. When the young generation of the cache is full it becomes the old one; words that come
+    up again move back, so frequent ones stay.
     """
-    tokenizer, mark, cache = _opened(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    tokenizer, mark, generations = _opened(path)
+    if len(generations[0]) > cache_words:
+        generations[:] = {}, generations[0]
+    cache, old = generations
     words = [(t or "").encode("utf-8").split() for t in texts]
-    missing = [w for w in set().union(*words) if w not in cache]
+    distinct = [w for w in set().union(*words) if w not in cache]
+    cache.update((w, old[w]) for w in distinct if w in old)
+    missing = [w for w in distinct if w not in cache]
     long: dict[bytes, bytes] = {}
     for at in range(0, len(missing), 500):
         some = missing[at : at + 500]
@@ -92,12 +96,12 @@ def packed_ids(texts: list[str | None], path: str) -> list[bytes]:
     return [b"".join(map(get, ws)) for ws in words]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, cache_words: int) -> Iterator[pa.RecordBatch]:
     end, task, width = np.uint32(end_id).tobytes(), TaskContext.get().partitionId(), 4 * capacity
     ranks = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         rows, texts = [], batch.column(1).to_pylist()
-        for k, ids in enumerate(packed_ids(texts, path)):
+        for k, ids in enumerate(packed_ids(texts, path, cache_words)):
             ids += end
             for n, at in enumerate(range(0, len(ids), width)):
                 piece = ids[at : at + width]
@@ -167,19 +171,19 @@ def _place(batches: Iterator[pa.RecordBatch], steps, capacity: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in names[:5]), *map(pa.array, out.values())], names=[*names[:5], *out])
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. A smaller cache only costs time."""
     ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = partial(_cut, path=tokenizer or default_tokenizer(), capacity=capacity, end_id=end_id)
+    cut = partial(_cut, path=tokenizer or default_tokenizer(), capacity=capacity, end_id=end_id, cache_words=cache_words)
     fields = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = written(docs.select(id_col, text_col).mapInArrow(cut, f"{fields}, task int, rank long"), "pieces")
+    pieces = written(docs.select(id_col, text_col).mapInArrow(tidied(cut), f"{fields}, task int, rank long"), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.join(counts.select("length", "task", before.alias("before")), ["length", "task"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     steps = docs.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
-    return ranked.mapInArrow(partial(_place, steps=steps, capacity=capacity), f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(partial(_place, steps=steps, capacity=capacity)), f"{fields}, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

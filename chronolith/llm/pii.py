@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, table, written
+from .common import ready, table, tidied, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -268,7 +268,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and its candidates."""
     ready(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_find, f"id {docs.schema[id_col].dataType.simpleString()}, found {_FOUND}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(_find), f"id {docs.schema[id_col].dataType.simpleString()}, found {_FOUND}")
 
 
 def trained(found: DataFrame) -> Model:
@@ -294,7 +294,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: id, counts and checksum of the base spans, all spans."""
     found = written(extracted(docs, id_col, text_col), "pii-candidates")
     kind = docs.schema[id_col].dataType.simpleString()
-    return found.mapInArrow(partial(_decide, model=trained(found)), f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return found.mapInArrow(tidied(partial(_decide, model=trained(found))), f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def mask(text: str, model: Model) -> str:
@@ -317,7 +317,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts = [t if t is None else mask(t, model) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

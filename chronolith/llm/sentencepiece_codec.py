@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import ready, table, tidied
 
 SEED, DROPOUT, VARIANTS = 20240601, 0.1, 4
 #: Cached segmentations per worker, and the longest stretch that is cached or merged by a linear agenda, in characters.
@@ -220,14 +220,14 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     """One row per document: id, ids."""
     ready(docs.sparkSession)
     run = partial(_encode, path=model or default_model(), seed=seed, dropout=dropout)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """One row per row of ids: id, text."""
     ready(rows.sparkSession)
     run = partial(_decode, path=model or default_model())
-    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, text string")
+    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(tidied(run), f"id {rows.schema[id_col].dataType.simpleString()}, text string")
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
@@ -235,7 +235,7 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     ready(docs.sparkSession)
     run = partial(_digest, path=model or default_model(), seed=seed, dropout=dropout)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
