@@ -35,8 +35,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence."""
-    return packing.packed(docs).withColumnRenamed("id", "doc_id")
+    """One row per piece of a document, with its place in a sequence; workers hold on to what the stages before took."""
+    return packing.packed(docs, cache_words=60_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
