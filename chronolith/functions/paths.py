@@ -9,7 +9,12 @@ from ..config import IGNORED_PATHS, LANGUAGES, ROOT_MODULE, SOURCE_EXTENSIONS, T
 
 
 def any_of(patterns: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One pattern for all; those that begin alike share their beginning, so that most places fail at one character."""
+    heads = ("(^|/)", r"\.", "^")
+    groups = {h: [p.removeprefix(h) for p in patterns if p.startswith(h) and not any(p.startswith(g) for g in heads[: heads.index(h)])] for h in heads}
+    rest = [p for p in patterns if not p.startswith(heads)]
+    joined = [f"{h}(?:{'|'.join(f'(?:{p})' for p in ps)})" for h, ps in groups.items() if ps]
+    return "|".join(f"(?:{p})" for p in joined + rest)
 
 
 def extension(path: Column) -> Column:

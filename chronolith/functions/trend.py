@@ -47,20 +47,28 @@ def sen_slope(x: Column) -> Column:
     return (F.get(slopes, F.floor((m - 1) / 2).cast("int")) + F.get(slopes, F.floor(m / 2).cast("int"))) / 2
 
 
-def mann_kendall(x: Column, alpha: float) -> Column:
-    """Struct (trend, p, z, s, slope, n); fewer than three values or no variance: no_trend, p 1."""
-    x = F.transform(x, lambda v: v.cast("double"))
-    n = F.size(x)
-    raw = F.struct(n.alias("n"), kendall_s(x).alias("s"), ((n * (n - 1) * (2 * n + 5) - tie_term(x)) / 18.0).alias("var"), sen_slope(x).alias("slope"))
+def _bound(value: Column, use) -> Column:
+    """`use(value)` with the value evaluated once: inner lambdas then refer to a variable, not to its expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def result(r: Column) -> Column:
+
+def mann_kendall(x: Column, alpha: float, slope: bool = True) -> Column:
+    """Struct (trend, p, z, s, slope, n); fewer than three values or no variance: no_trend, p 1. The slope costs most."""
+
+    def test(v: Column) -> Column:
+        n = F.size(v)
+        return F.struct(n.alias("n"), kendall_s(v).alias("s"), ((n * (n - 1) * (2 * n + 5) - tie_term(v)) / 18.0).alias("var"), (sen_slope(v) if slope else F.lit(None).cast("double")).alias("slope"))
+
+    def scored(r: Column) -> Column:
         void = (r["n"] < 3) | (r["var"] <= 0)
         z = F.when(void | (r["s"] == 0), 0.0).otherwise((r["s"] - F.signum(r["s"].cast("double"))) / F.sqrt(F.when(void, 1.0).otherwise(r["var"])))
-        trend = F.when(z >= critical(alpha), "increasing").when(z <= -critical(alpha), "decreasing").otherwise("no_trend")
-        p = F.when(void, 1.0).otherwise(two_sided(z))
-        return F.struct(trend.alias("trend"), p.alias("p"), z.alias("z"), F.when(r["n"] < 3, 0).otherwise(r["s"]).alias("s"), F.when(void, 0.0).otherwise(r["slope"]).alias("slope"), r["n"].alias("n"))
+        return F.struct(void.alias("void"), z.alias("z"), r["n"].alias("n"), F.when(r["n"] < 3, 0).otherwise(r["s"]).alias("s"), F.when(void, 0.0).otherwise(r["slope"]).alias("slope"))
+
+    def result(r: Column) -> Column:
+        trend = F.when(r["z"] >= critical(alpha), "increasing").when(r["z"] <= -critical(alpha), "decreasing").otherwise("no_trend")
+        return F.struct(trend.alias("trend"), F.when(r["void"], 1.0).otherwise(two_sided(r["z"])).alias("p"), r["z"].alias("z"), r["s"].alias("s"), r["slope"].alias("slope"), r["n"].alias("n"))
 
-    return F.element_at(F.transform(F.array(raw), result), 1)
+    return _bound(_bound(_bound(x.cast("array<double>"), test), scored), result)
 
 
 def direction(trend: Column) -> Column:

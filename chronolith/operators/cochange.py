@@ -31,30 +31,36 @@ def decayed(count: Column, idx: Column, closed: int, settings: Settings) -> Colu
     return count * F.pow(F.lit(0.5), F.greatest(F.lit(0), F.lit(closed) - idx) / max(0.1, settings.half_life))
 
 
-def pairs(counts: DataFrame, now: datetime, settings: Settings = Settings()) -> DataFrame:
-    """One row per pair: weight, lifetime, periods_active, the last commit, the trend since its first period."""
+def pair_sums(counts: DataFrame, now: datetime, settings: Settings = Settings()) -> DataFrame:
+    """One row per pair: weight, lifetime, periods_active, the last commit, and the counts that make its trend."""
     closed = last_closed(now, settings.scale)
-    one = counts.groupBy("module_a", "module_b").agg(
+    late = F.col("idx") > closed - settings.window
+    return counts.groupBy("module_a", "module_b").agg(
         F.sum(decayed(F.col("count"), F.col("idx"), closed, settings)).alias("weight"), F.sum("count").alias("lifetime"), F.count(F.lit(1)).alias("periods_active"),
-        F.max(F.struct("last_ts", "last_hash")).alias("last"), F.min("idx").alias("first"), F.map_from_entries(F.collect_list(F.struct("idx", "count"))).alias("by_period"),
-    )
+        F.max(F.struct("last_ts", "last_hash")).alias("last"), F.min("idx").alias("first"), F.map_from_entries(F.collect_list(F.when(late, F.struct("idx", "count")))).alias("by_period"),
+    ).select("module_a", "module_b", "weight", "lifetime", "periods_active", F.col("last.last_ts").alias("last_ts"), F.col("last.last_hash").alias("last_hash"), "first", "by_period")
+
+
+def with_trend(rows: DataFrame, now: datetime, settings: Settings = Settings()) -> DataFrame:
+    """The trend of the counts over the window since the pair's first period, in place of the counts."""
+    closed = last_closed(now, settings.scale)
     axis = F.sequence(F.greatest("first", F.lit(closed - settings.window + 1)), F.lit(closed))
     series = F.transform(axis, lambda i: F.coalesce(F.col("by_period")[i], F.lit(0)))
-    trend = F.when(closed - F.col("first") < 2, "flat").otherwise(direction(mann_kendall(series, settings.alpha)["trend"]))
-    return one.select("module_a", "module_b", "weight", "lifetime", "periods_active", F.col("last.last_ts").alias("last_ts"), F.col("last.last_hash").alias("last_hash"), trend.alias("trend"))
+    trend = F.when(closed - F.col("first") < 2, "flat").otherwise(direction(mann_kendall(series, settings.alpha, slope=False)["trend"]))
+    return rows.withColumn("trend", trend).drop("first", "by_period")
 
 
-def partners(paired: DataFrame, settings: Settings = Settings(), top: int | None = None) -> DataFrame:
+def partners(sums: DataFrame, now: datetime, settings: Settings = Settings(), top: int | None = None) -> DataFrame:
     """One row per module and reported partner, heaviest first; top 0 reports all above the least weight.
 
-    A share counts the partners below the least weight too.
+    A share counts the partners below the least weight too; a trend is only made for those that are reported.
     """
-    both = paired.withColumnsRenamed({"module_a": "module", "module_b": "partner"}).unionByName(paired.withColumnsRenamed({"module_b": "module", "module_a": "partner"}))
+    both = sums.withColumnsRenamed({"module_a": "module", "module_b": "partner"}).unionByName(sums.withColumnsRenamed({"module_b": "module", "module_a": "partner"}))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("module"))
     rows = both.withColumn("share", F.coalesce(share, F.lit(0.0))).where(F.col("weight") >= settings.min_weight)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("weight"), "partner")))
     top = settings.top_partners if top is None else top
-    return rows.where(F.col("rank") <= top) if top else rows
+    return with_trend(rows.where(F.col("rank") <= top) if top else rows, now, settings)
 
 
 def strongest_couplings(reported: DataFrame, each: int = 3) -> DataFrame:

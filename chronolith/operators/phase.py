@@ -32,7 +32,7 @@ def phase_features(axis: DataFrame, settings: Settings = Settings()) -> DataFram
 def phase_labels(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The label at each period, its confidence and the reasons for it."""
     s = settings
-    rows = features.withColumns({"churn": mann_kendall(F.col("churn_window"), s.alpha), "growth_": mann_kendall(F.col("size_window"), s.alpha)})
+    rows = features.withColumns({"churn": mann_kendall(F.col("churn_window"), s.alpha, slope=False), "growth_": mann_kendall(F.col("size_window"), s.alpha, slope=False)})
     strong = F.greatest(F.abs(F.col("churn.z")), F.abs(F.col("growth_.z"))) >= critical(0.05)
     started = F.greatest(F.lit(1), F.col("size") - F.col("net_recent"))
     shrank = (F.col("net_recent") < 0) & (F.col("net_most") <= 0) & (F.abs("net_recent") >= 0.05 * started)

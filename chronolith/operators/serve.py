@@ -50,13 +50,17 @@ class Repository:
     def phases(self) -> DataFrame:
         return phase.classified(self.facts, self.now, self.settings)
 
+    @cached_property
+    def pair_sums(self) -> DataFrame:
+        return cochange.pair_sums(cochange.cochange_counts(self.facts, self.settings), self.now, self.settings)
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return cochange.pairs(cochange.cochange_counts(self.facts, self.settings), self.now, self.settings)
+        return cochange.with_trend(self.pair_sums, self.now, self.settings)
 
     @cached_property
     def all_partners(self) -> DataFrame:
-        return cochange.partners(self.pairs, self.settings, top=0)
+        return cochange.partners(self.pair_sums, self.now, self.settings, top=0)
 
     @cached_property
     def partners(self) -> DataFrame:
@@ -72,7 +76,7 @@ class Repository:
 
     def check(self, files: DataFrame, deck: gate.RuleDeck = gate.RuleDeck(), log: DataFrame | None = None) -> DataFrame:
         """Decided findings of diffs (diff_id, path, added, deleted, is_deleted)."""
-        found = gate.findings(gate.diff_modules(files, self.settings), self.phases, self.connected, self.pairs, self.settings)
+        found = gate.findings(gate.diff_modules(files, self.settings), self.phases, self.connected, self.pair_sums, self.settings)
         return gate.decided(found, deck, self.now.date(), log, self.settings)
 
     def context(self) -> DataFrame:
