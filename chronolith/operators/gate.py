@@ -198,6 +198,35 @@ def escalations(events: DataFrame, settings: Settings = Settings()) -> DataFrame
     return rows.select("id", "ts", "module", "rule", "open", F.when(F.col("open") >= settings.escalation_count - 1, "block").otherwise("warn").alias("verdict"))
 
 
+def open_warnings(log: DataFrame, facts: DataFrame, now: datetime, settings: Settings = Settings()) -> DataFrame:
+    """Warnings (ts, module, rule) of the escalation period that no later commit on their module has answered: open, by
+    module and rule, as `decided` takes them."""
+    since = F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(settings.escalation_hours * 3600)} SECOND")
+    recent = log.where(F.col("ts").cast("timestamp_ntz") >= since)
+    answered = facts.groupBy("module").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("answered"))
+    rows = recent.join(answered, "module", "left").where(F.col("answered").isNull() | (F.col("answered") < F.col("ts").cast("timestamp_ntz")))
+    return rows.groupBy("module", "rule").agg(F.count(F.lit(1)).alias("open"))
+
+
+def to_log(judged: DataFrame, now: datetime) -> DataFrame:
+    """The warnings that a log keeps: ts, module, rule, verdict, deviation, diff_id."""
+    kept = judged.where((F.col("severity") == "warn") & (F.col("family") == "W"))
+    blocked = F.max("escalated").over(Window.partitionBy("diff_id"))
+    return kept.select(F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz").alias("ts"), "module", "rule", F.when(blocked, "block").otherwise("warn").alias("verdict"), "deviation", "diff_id")
+
+
+def fail_safe(diffs: DataFrame, fresh: DataFrame | None, allow_stale: bool = False) -> DataFrame:
+    """What every diff is told of an index that is missing (no freshness), rewritten or stale; rows as of `findings`."""
+    ids = diffs.select("diff_id").distinct()
+    if fresh is None:
+        rows = ids.withColumn("rule", F.lit("SL-F00"))
+    else:
+        rule = F.when(F.col("rewritten"), "SL-F02").when(F.col("stale") & F.lit(not allow_stale), "SL-F01")
+        rows = ids.join(F.broadcast(fresh.select(rule.alias("rule"))), F.col("rule").isNotNull())  # one row
+    none = F.lit(None)
+    return rows.select("diff_id", "rule", F.lit("*").alias("module"), F.lit(1).alias("deviation"), none.cast("string").alias("other"), none.cast("bigint").alias("lifetime"))
+
+
 def log_summary(log: DataFrame, now: datetime, days: int = 30) -> DataFrame:
     """Warnings of the last days by module and rule: how many, and the largest deviation."""
     since = F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")

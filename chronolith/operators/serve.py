@@ -75,7 +75,7 @@ class Repository:
         return packages.connectedness(self.periods, self.fans, self.all_partners, self.settings)
 
     def check(self, files: DataFrame, deck: gate.RuleDeck = gate.RuleDeck(), log: DataFrame | None = None) -> DataFrame:
-        """Decided findings of diffs (diff_id, path, added, deleted, is_deleted)."""
+        """Decided findings of diffs (diff_id, path, added, deleted, is_deleted); `log` has open warnings, see gate."""
         found = gate.findings(gate.diff_modules(files, self.settings), self.phases, self.connected, self.pair_sums, self.settings)
         return gate.decided(found, deck, self.now.date(), log, self.settings)
 
@@ -114,6 +114,11 @@ class Repository:
         return c.join(F.broadcast(p))  # one row each
 
 
+def payload(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def advice(module: Column, label: Column, status: Column, partner: Column) -> Column:
     say = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
     return (

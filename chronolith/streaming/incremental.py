@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..operators.gate import RuleDeck, open_warnings, to_log
 from ..operators.serve import Repository
 
 _COLUMNS = "hash string, ts timestamp_ntz, author string, email string, subject string, path string, added bigint, deleted bigint"
@@ -44,6 +45,36 @@ class IncrementalIndex:
         new = new.join(known, "hash", "left_anti").groupBy(*names, "year").agg(F.count(F.lit(1)).alias(copy))
         new.drop(copy).write.mode("append").partitionBy("year").parquet(f"{self.path}/changes")
 
+        rows = self.spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").alias("at"), F.lit(batch_id).cast("bigint").alias("batch_id"), F.array(*map(F.lit, sorted(y for y in years if y is not None))).cast("array<int>").alias("years"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/updates")
+
+    def updates(self) -> DataFrame:
+        """One row per applied batch."""
+        return self.spark.read.schema("at timestamp_ntz, batch_id bigint, years array<int>").parquet(f"{self.path}/updates") if self._exists(f"{self.path}/updates") else self.spark.createDataFrame([], "at timestamp_ntz, batch_id bigint, years array<int>")
+
+    def reset(self) -> None:
+        """Forgets the history; settings and the warning log stay."""
+        for name in ("changes", "updates"):
+            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+    def record(self, judged: DataFrame, now: datetime) -> None:
+        """Appends the warnings of a check to the index's log."""
+        to_log(judged, now).write.mode("append").parquet(f"{self.path}/warnings")
+
+    def warnings(self) -> DataFrame:
+        schema = "ts timestamp_ntz, module string, rule string, verdict string, deviation int, diff_id string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/warnings") if self._exists(f"{self.path}/warnings") else self.spark.createDataFrame([], schema)
+
+    def check(self, files: DataFrame, now: datetime, deck: RuleDeck = RuleDeck(), record: bool = True, **more) -> DataFrame:
+        """Decided findings of diffs, escalated by the log, which then holds their warnings too."""
+        repo = self.repository(now, **more)
+        judged = repo.check(files, deck, open_warnings(self.warnings(), repo.facts, now, self.settings))
+        rows = self.spark.createDataFrame(judged.collect(), judged.schema)  # findings of proposed changes, a handful
+        if record:
+            self.record(rows, now)
+        return rows
+
     def repository(self, now: datetime, **more) -> Repository:
         return Repository(self.changes(), now, self.settings, **more)
 
