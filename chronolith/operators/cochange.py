@@ -55,7 +55,8 @@ def partners(sums: DataFrame, now: datetime, settings: Settings = Settings(), to
 
     A share counts the partners below the least weight too; a trend is only made for those that are reported.
     """
-    both = sums.withColumnsRenamed({"module_a": "module", "module_b": "partner"}).unionByName(sums.withColumnsRenamed({"module_b": "module", "module_a": "partner"}))
+    sides = F.array(*(F.struct(F.col(x).alias("module"), F.col(y).alias("partner")) for x, y in (("module_a", "module_b"), ("module_b", "module_a"))))
+    both = sums.withColumn("side", F.explode(sides)).select("side.*", "*").drop("side", "module_a", "module_b")
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("module"))
     rows = both.withColumn("share", F.coalesce(share, F.lit(0.0))).where(F.col("weight") >= settings.min_weight)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("weight"), "partner")))

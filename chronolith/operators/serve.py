@@ -10,18 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..session import written
 from . import cochange, gate, history, packages, phase
 
 
 @dataclass
 class Repository:
-    """Signals of one history, made when asked for; `edges` are imports and `metrics` module metrics, if there are any."""
+    """Signals of one history, made when asked for; `edges` are imports and `metrics` module metrics, if there are any.
+
+    With `store`, the base fact is written to the shared folder when it is first needed: answers that come from several
+    signals read it instead of going through the changes once for each.
+    """
 
     changes: DataFrame
     now: datetime
     settings: Settings = Settings()
     edges: DataFrame | None = None
     metrics: DataFrame | None = None
+    store: bool = False
 
     def __post_init__(self) -> None:
         spark = self.changes.sparkSession
@@ -32,7 +38,8 @@ class Repository:
 
     @cached_property
     def touched(self) -> DataFrame:
-        return history.touches(self.changes, self.settings)
+        rows = history.touches(self.changes, self.settings)
+        return written(rows, "touches") if self.store else rows
 
     @cached_property
     def commits(self) -> DataFrame:

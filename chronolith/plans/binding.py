@@ -67,8 +67,8 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def repository(spark: SparkSession, sf_dir: str) -> Repository:
-    return Repository(changes(spark, sf_dir), NOW, SETTINGS, edges(spark, sf_dir), metrics(spark, sf_dir))
+def repository(spark: SparkSession, sf_dir: str, store: bool = False) -> Repository:
+    return Repository(changes(spark, sf_dir), NOW, SETTINGS, edges(spark, sf_dir), metrics(spark, sf_dir), store)
 
 
 def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:

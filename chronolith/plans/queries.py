@@ -80,11 +80,11 @@ def phase_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phase_since(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).phases.select("module", "phase", "since", "confidence", "churn_trend", "size_trend", F.col("n").alias("periods"), "low_streak")
+    return b.repository(spark, d, store=True).phases.select("module", "phase", "since", "confidence", "churn_trend", "size_trend", F.col("n").alias("periods"), "low_streak")
 
 
 def phase_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).phase_histogram()
+    return b.repository(spark, d, store=True).phase_histogram()
 
 
 def cochange_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ def package_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connectedness(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).connected.select("module", "status", "fan_in", "fan_out", "partners")
+    return b.repository(spark, d, store=True).connected.select("module", "status", "fan_in", "fan_out", "partners")
 
 
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
@@ -159,26 +159,26 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).check(b.proposed(spark, d)).select("diff_id", "rule", "module", "severity", "deviation", "other", F.coalesce("lifetime", F.lit(-1)).alias("lifetime"))
+    return b.repository(spark, d, store=True).check(b.proposed(spark, d)).select("diff_id", "rule", "module", "severity", "deviation", "other", F.coalesce("lifetime", F.lit(-1)).alias("lifetime"))
 
 
 def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     diffs = b.proposed(spark, d)
-    rows = gate.verdicts(diffs, b.repository(spark, d).check(diffs))
+    rows = gate.verdicts(diffs, b.repository(spark, d, store=True).check(diffs))
     return rows.select("diff_id", "verdict", "deviation", F.array_join("rules_fired", ",").alias("rules_fired"))
 
 
 def explain_modules(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).overview().select("module", "phase", "since", "status", "fan_in", "partners", "churn_level", "nloc")
+    return b.repository(spark, d, store=True).overview().select("module", "phase", "since", "status", "fan_in", "partners", "churn_level", "nloc")
 
 
 def context_packets(spark: SparkSession, d: str) -> DataFrame:
-    rows = b.repository(spark, d).context()
+    rows = b.repository(spark, d, store=True).context()
     return rows.select("module", "phase", "since", "status", "commits_analyzed", F.size(F.coalesce("co_changes_with", F.array())).alias("reported"), "advice")
 
 
 def repository_summary(spark: SparkSession, d: str) -> DataFrame:
-    return b.repository(spark, d).summary().withColumns({c: F.col(c).cast("string") for c in ("first_commit", "last_commit")})
+    return b.repository(spark, d, store=True).summary().withColumns({c: F.col(c).cast("string") for c in ("first_commit", "last_commit")})
 
 
 def step_sizes(spark: SparkSession, d: str) -> DataFrame:

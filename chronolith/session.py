@@ -1,10 +1,34 @@
-"""What Python workers need of the session."""
+"""What operators need of the session: the shared folder, tables written there, workers that find the package."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session, else one of our own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

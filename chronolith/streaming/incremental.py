@@ -76,7 +76,7 @@ class IncrementalIndex:
         return rows
 
     def repository(self, now: datetime, **more) -> Repository:
-        return Repository(self.changes(), now, self.settings, **more)
+        return Repository(self.changes(), now, self.settings, **{"store": True} | more)
 
     def stream(self, changes: DataFrame, checkpoint: str):
         """Starts a query that applies each micro-batch of streamed changes."""
