@@ -5,45 +5,20 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
+from ..session import new_path, shared_dir, ship_package, written
 
-#: ASCII white space; words are maximal runs of everything else.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
+__all__ = ["fresh", "new_path", "ready", "release_memory", "shared_dir", "shuffle_partitions", "table", "tidied", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session, else one of our own."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
-
-
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a worker's memory.
 ARROW_ROWS = 500
 
