@@ -40,11 +40,16 @@ def language_of(path: Column) -> Column:
 
 def module_of(path: Column, settings: Settings) -> Column:
     """The first directories of a path, less one leading source prefix that a directory follows; null if ignored."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    skip = F.when((F.size(parts) > 2) & F.get(parts, F.lit(0)).isin(*settings.strip_prefixes), 1).otherwise(0)
-    depth = F.least(F.lit(max(1, settings.module_depth)), F.size(parts) - 1 - skip)
-    name = F.when(depth <= 0, F.lit(ROOT_MODULE)).otherwise(F.array_join(F.slice(parts, skip + 1, F.greatest(depth, F.lit(0))), "/"))
-    return F.when(path.isNotNull() & (F.size(parts) > 0) & ~is_ignored(path), name)
+
+    def name(parts: Column) -> Column:
+        skip = F.when((F.size(parts) > 2) & F.get(parts, F.lit(0)).isin(*settings.strip_prefixes), 1).otherwise(0)
+        depth = F.least(F.lit(max(1, settings.module_depth)), F.size(parts) - 1 - skip)
+        return F.when(depth > 0, F.array_join(F.slice(parts, skip + 1, F.greatest(depth, F.lit(0))), "/")).when(F.size(parts) > 0, ROOT_MODULE)
+
+    parts = F.array_remove(F.split(path, "/"), "")
+    # As a lambda variable the parts are made once.
+    named = F.element_at(F.transform(F.array(parts), name), 1)
+    return F.when(path.isNotNull() & ~is_ignored(path), named)
 
 
 def renamed(raw: Column) -> Column:

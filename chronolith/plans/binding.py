@@ -45,7 +45,9 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     email = F.when(bot, "dependabot@example.com").otherwise(F.concat(F.lit("c"), F.col("o_custkey"), F.lit("@example.com")))
     subject = F.when(F.col("o_orderpriority") == "5-LOW", "Bump deps").otherwise(F.concat(F.lit("feat: "), F.col("o_orderpriority")))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("hash"), F.col("o_orderkey"), F.col("o_orderdate").alias("ts"), author.alias("author"), email.alias("email"), subject.alias("subject"))
-    return lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("hash", "ts", "author", "email", "subject", "path", "added", "deleted")
+    # Dealt out by the key of the join with orders, which needs that for large tables; one-file tables come in one task.
+    rows = lines(spark, sf_dir).repartition("l_orderkey")
+    return rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("hash", "ts", "author", "email", "subject", "path", "added", "deleted")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
