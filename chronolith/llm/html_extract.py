@@ -4,8 +4,10 @@ The page is cut into blocks at block-level tags. Text in scripts, styles, forms,
 the like, or in an element whose class, id or role names such a part, is boilerplate by structure. First pass: link
 density, length and stop-word density class each other block as good, bad, near-good or short. Second pass: near-good and
 short blocks take the class of their nearest decided neighbours (good if both sides are good, else near-good blocks need
-one good side and short ones the nearer side). Where the page marks an article or main element, blocks inside it start
-as good unless their links outweigh their text, and blocks outside as bad.
+one good side and short ones the nearer side). Both passes run on every page. An article or main element is one feature:
+blocks inside it are classed one step better where their links are few, bear more links, and are decided first, with the
+element's edges as good neighbours; structural boilerplate inside it says nothing about its text. Blocks outside are
+classed as on any page.
 
 Defined results: a null or empty page has an empty text; character references are decoded, also without a semicolon;
 white space in a block becomes one space; blocks are joined in page order by one space; a tag that the page's end cuts
@@ -19,6 +21,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,16 +165,23 @@ def _named(attributes: str) -> bool:
 
 
 def first_pass(block: Block) -> str:
-    """The context-free class of a block outside any article."""
+    """The context-free class of a block."""
     chars, words = len(block.text), block.text.lower().split()
-    if block.boiler or block.linked > LINKS * chars:
+    if block.boiler or block.linked > (LINKS_IN_ARTICLE if block.article else LINKS) * chars:
         return BAD
+    raised = block.article and block.linked <= LINKS * chars
     if chars < SHORT:
-        return BRIEF if not block.linked else BAD
+        if block.linked:
+            return BRIEF if raised else BAD
+        return NEAR if raised else BRIEF
     density = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
     if density >= STOP_HIGH:
-        return GOOD if chars > LONG else NEAR
-    return NEAR if density >= STOP_LOW else BAD
+        return GOOD if chars > LONG or raised else NEAR
+    if density >= STOP_LOW:
+        return GOOD if raised else NEAR
+    if raised:  # the stop words are of a few languages
+        return NEAR if chars > LONG else BRIEF
+    return BAD
 
 
 def second_pass(classes: list[str]) -> list[bool]:
@@ -201,10 +211,12 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     blocks = _Reader().page(source)
-    if any(b.article for b in blocks):
-        classes = [BAD if not b.article or b.boiler or b.linked > LINKS_IN_ARTICLE * len(b.text) else GOOD for b in blocks]
-    else:
-        classes = [first_pass(b) for b in blocks]
+    classes = [first_pass(b) for b in blocks]
+    for inside, run in groupby(range(len(blocks)), lambda k: blocks[k].article):
+        if inside:
+            own = [k for k in run if not blocks[k].boiler]
+            for k, keep in zip(own, second_pass([GOOD, *(classes[k] for k in own), GOOD])[1:-1], strict=True):
+                classes[k] = GOOD if keep else BAD
     return " ".join(b.text for b, keep in zip(blocks, second_pass(classes), strict=True) if keep)
 
 

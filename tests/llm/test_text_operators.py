@@ -336,6 +336,15 @@ def test_html_without_article():
     assert good.strip() in text and "Also brief." in text and "Link one" not in text and "Home" not in text
 
 
+def test_html_two_passes_beside_an_article():
+    good = "The river of the morning is in the house and it was to be seen that the light of the day had come to them all, as it has in the past and will be again for all of us who are here. " * 2
+    links = "<p>" + "<a href=/x>More of the links that are here for all</a>, and " * 4 + "</p>"
+    text = html_extract.main_text(f"<body><article><h3><a href=/t>Teaser title</a></h3></article><div>{good}</div><div>Zq xv kj wq pl mn. {'Qwx zvk ' * 20}</div><div>{good}</div></body>")
+    assert text == f"{good.strip()} {good.strip()}"
+    text = html_extract.main_text(f"<body><article><h1>Title</h1><p>{good}</p>{links}<p>{'Qwx zvk ' * 12}</p>{links}<p>{good}</p></article></body>")
+    assert text == f"Title {good.strip()} {good.strip()}"
+
+
 @pytest.mark.parametrize("cut", range(0, len(PAGE), 7))
 def test_html_cut_off_anywhere(cut):
     text = html_extract.main_text(PAGE[:cut])
