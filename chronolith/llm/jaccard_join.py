@@ -13,6 +13,9 @@ similarity t shares, under ANY global order of the tokens, a token among the fir
    common comes at or after it, so with the list's pivot p the overlap is at most min(|x & p|, |y & p|) + min(|x - p|,
    |y - p|) from there on; pairs that cannot reach t go. What is left must also share prefix tokens under two further
    orders (rarity classes with keyed hashes), and is then verified. No pair of linked sets is lost, and none is capped.
+4. Number of links. Every link is within a component, so each component's sets meet in cells of two blocks of sets, large
+   components cut by size and hash. Pairs of a cell that share a prefix token under all three orders are verified, and
+   every set gets the number of rows that it is linked with, its own copies included.
 
 Defined results: without words or text the set is empty, n_shingles is 0 and the document is linked with nothing; with
 fewer than n words the whole sequence is one shingle; a null identifier stays null and never names a component; repeated
@@ -22,7 +25,7 @@ rows are linked; an empty table gives an empty result. Extra columns are ignored
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, ready, release_memory, shuffle_partitions, table, tidied, written
@@ -39,6 +42,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Tokens that a task packs at a time, and hash buckets for each shuffle partition.
 BLOCK_TOKENS, BUCKETS_PER_PARTITION = 1_000_000, 3
+#: Sets and tokens in a block of a component; columns of a cell's matrices at a time.
+BLOCK_SETS, CELL_TOKENS, CELL_COLUMNS = 512, 500_000, 4096
 #: Copies of one set are heavy from this share of the rows on: at most so many sets, which may be broadcast.
 HEAVY_SHARE = 1000
 _LOW = np.uint64((1 << 56) - 1)
@@ -295,8 +300,117 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([c[0].filter(pa.array(keep, pa.bool_())), c[1].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links reach)."""
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of xs has in common with each of ys."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    common = np.intersect1d(x, y)
+    if not len(common):
+        return out
+    places = []
+    for tokens, parts in ((x, xs), (y, ys)):
+        owner, kept = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), _sorted_in(tokens, common)
+        at = np.searchsorted(common, tokens[kept])
+        order = np.argsort(at, kind="stable")
+        places.append((owner[kept][order], at[order]))
+    for lo in range(0, len(common), CELL_COLUMNS):
+        width = min(CELL_COLUMNS, len(common) - lo)
+        sides = []
+        for (owner, at), size in zip(places, out.shape, strict=True):
+            cut = slice(*np.searchsorted(at, [lo, lo + width]))
+            side = np.zeros((size, width), np.float32)
+            side[owner[cut], at[cut] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _cell(xs: list[tuple], ys: list[tuple] | None, percent: int) -> Iterator[tuple[bytes, int]]:
+    """(digest, linked rows) of sets (digest, rows, n, tokens, dfs); within xs if ys is None."""
+    same, ys = ys is None, xs if ys is None else ys
+    if not xs or not ys or same and len(xs) < 2:
+        return
+    orders: list[list[list[np.ndarray]]] = [[], [], []]
+    for k, side in enumerate((xs,) if same else (xs, ys)):
+        for found in orders:
+            found.append([])
+        for _, _, n, tokens, dfs in side:
+            p = _prefix(n, len(tokens), percent)
+            for found, prefix in zip(orders, (tokens[:p], *(_under(tokens, dfs, p, key) for key in _ORDER_KEYS)), strict=True):
+                found[k].append(prefix)
+    near = np.ones((len(xs), len(ys)), bool)
+    if same:
+        np.fill_diagonal(near, False)
+    for found in orders:
+        if near.any():
+            near &= _shared(found[0], found[-1]) > 0
+    if near.any():
+        n, m = (np.array([s[2] for s in side], np.int64) for side in (xs, ys))
+        near &= _linked(_shared([s[3] for s in xs], [s[3] for s in ys]).astype(np.int64), n[:, None], m[None, :], percent)
+    for side, other, links in ((xs, ys, near),) if same else ((xs, ys, near), (ys, xs, near.T)):
+        for own, total in zip(side, (links @ np.array([s[1] for s in other], np.int64)).tolist(), strict=True):
+            if total:
+                yield own[0], total
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell."""
+    key, xs, ys, out = None, [], [], []
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), pa.array([t for _, t in out], pa.int64())], names=["digest", "links"])
+
+    def done() -> None:
+        if key is not None:
+            out.extend(_cell(xs, None if key[1:3] == key[3:5] else ys, percent))
+
+    for batch in batches:
+        c = [column.to_pylist() for column in batch.columns[:9]]
+        for k in range(batch.num_rows):
+            here = tuple(column[k] for column in c[:5])
+            if here != key:
+                done()
+                key, xs, ys = here, [], []
+            own = (c[6][k], c[7][k], c[8][k], np.frombuffer(batch.column(9)[k].as_py(), "<u8"), np.frombuffer(batch.column(10)[k].as_py(), "<u4"))
+            (ys if c[5][k] else xs).append(own)
+        if len(out) > 10_000:
+            yield packed()
+            out.clear()
+    done()
+    yield packed()
+
+
+def _counted(nodes: DataFrame, label: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(digest, links): with how many rows of other sets each set is linked."""
+    sizes = nodes.select("digest", "n", F.expr("length(tokens) / 8").alias("have"))
+    member = written(label.withColumnRenamed("node", "digest").join(copies.select("digest", "rows"), "digest").join(sizes, "digest"), "jaccard-members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("have") / CELL_TOKENS))
+    # Sizes of linked sets differ by 100 / percent at most, so bands that are wider than that meet only their neighbours.
+    small = member.groupBy("root").agg((blocks == 1).alias("small"))
+    banded = member.join(small, "root").withColumn("band", F.when(F.col("small"), 0).otherwise(F.floor(F.log(102.0 / percent, F.col("n")))).cast("int"))
+    bands = written(banded.groupBy("root", "band").agg(blocks.cast("int").alias("blocks")), "jaccard-bands")
+    above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    placed = banded.join(bands.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left"), ["root", "band"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    band, block = F.col("band"), F.col("block")
+
+    def cells(number: str, cell: Callable[[Column], tuple]) -> Column:
+        others = F.filter(F.sequence(F.lit(0), F.coalesce(number, F.lit(0))), lambda k: k < F.coalesce(number, F.lit(0)))
+        return F.transform(others, lambda k: F.struct(*(v.alias(f) for v, f in zip(cell(k), ("low", "i", "high", "j", "second"), strict=True))))
+
+    own = cells("blocks", lambda k: (band, F.least(block, k), band, F.greatest(block, k), block > k))
+    up = cells("above", lambda k: (band, block, band + 1, k, F.lit(False)))
+    down = cells("below", lambda k: (band - 1, k, band, block, F.lit(True)))
+    rows = placed.select("root", F.explode(F.concat(own, up, down)).alias("c"), "digest", "rows").select("root", "c.*", "digest", "rows").join(nodes, "digest")
+    keys = ["root", "low", "i", "high", "j"]
+    rows = rows.select(*keys, "second", "digest", "rows", "n", "tokens", "dfs").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(tidied(partial(_cells, percent=percent)), "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
+
+
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, count_links: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id that links reach), digest, and n_links (with how
+    many other rows it is linked) unless that is not asked for."""
     spark = docs.sparkSession
     ready(spark)
     buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
@@ -316,7 +430,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = written(sets.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs")), "jaccard-nodes")
     links = _links(nodes, percent)
     label = components(links, "a", "b")  # node, root
-    return _named(sets, label)
+    return _named(sets, label, (lambda copies: _counted(nodes, label, copies, percent)) if count_links else None)
 
 
 def _links(nodes: DataFrame, percent: int) -> DataFrame:
@@ -367,27 +481,32 @@ def _against(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(tidied(partial(_stars, percent=percent)), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean")
 
 
-def _named(sets: DataFrame, label: DataFrame) -> DataFrame:
-    """The component of each row, by its set; heavy sets are broadcast, so that a hot group is not one task's."""
+def _named(sets: DataFrame, label: DataFrame, counted: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The component and number of links of each row, by its set; heavy sets are broadcast, so that a hot group is not one task's."""
     docs = sets.select("id", "digest", F.col("n").alias("n_shingles"))
     copies = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
     rooted = copies.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     rooted = written(rooted, "jaccard-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members")).where("members > 1")
-    named = written(rooted.join(least, "root").select("digest", "component_id", "rows"), "jaccard-named")
+    named = rooted.join(least, "root").select("digest", "component_id", "rows")
+    more = []
+    if counted:
+        named = named.join(counted(rooted), "digest", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1).drop("links")
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    named = written(named, "jaccard-named")
     limit = max(1, rooted.agg(F.sum("rows")).first()[0] or 0) // HEAVY_SHARE
     heavy = F.broadcast(named.where(F.col("rows") > limit).drop("rows"))  # at most HEAVY_SHARE rows
     light = named.where(F.col("rows") <= limit).drop("rows")
     hot = docs.join(heavy, "digest")
     rest = docs.join(heavy, "digest", "left_anti").join(light, "digest", "left")
-    every = hot.select("id", "n_shingles", "component_id", "digest").unionByName(rest.select("id", "n_shingles", "component_id", "digest"))
-    return every.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "digest")
+    every = hot.unionByName(rest)
+    return every.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "digest", *more)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest of their component; columns stay as they are, rows with a null id stay."""
     gone = fresh(docs, "linked_id")
-    dropped = linked_groups(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    dropped = linked_groups(docs, id_col, text_col, count_links=False).where("id <> component_id").select(F.col("id").alias(gone)).distinct()
     dropped = written(dropped, "jaccard-dropped")
     if dropped.count() <= 500_000:  # 8 bytes each; else a shuffled join
         dropped = F.broadcast(dropped)
@@ -395,6 +514,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The columns that the SQL has; n_links is counted and written on the way."""
     return linked_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 

@@ -75,6 +75,34 @@ def test_components_equal_all_pairs(spark, seed):
     assert got_components(spark, rows, block_tokens=300) == plain_components(rows)
 
 
+def plain_links(rows, percent=75, size=5):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    return Counter((i, sum(k != j and bool(sets[k]) and bool(sets[j]) and near(sets[k], sets[j]) for j in range(len(rows)))) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("block", "percent", "size"), [(512, 75, 5), (3, 75, 5), (4, 50, 3)])
+def test_every_link_is_counted(spark, monkeypatch, block, percent, size):
+    """Groups of mutually near texts, chains and copies, in one cell and in cells of few sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rnd = random.Random(4)
+    texts = []
+    for b in range(6):
+        chain = base = cases.prose(700 + b, 60 + 20 * b)
+        texts += [base] * 2 + [edited(base, rnd, 0.01) for _ in range(8)]
+        for _ in range(12):
+            chain += " " + cases.prose(rnd.randrange(10**6), rnd.randrange(2, 12))
+            texts += [chain] * rnd.randrange(1, 3)
+    rows = [(k + 1, t) for k, t in enumerate(texts)] + [(1000 + i if i else None, t) for i, t in cases.TEXTS]
+    want = plain_links(rows, percent, size)
+    got = jaccard_join.linked_groups(cases.table(spark, rows), size=size, percent=percent).collect()
+    assert Counter((r["id"], r["n_links"]) for r in got) == want
+    assert sum(n * c for (_, n), c in want.items()) > 2 * len(rows)
+
+
 def test_components_of_awkward_rows(spark):
     assert got_components(spark, cases.TEXTS) == plain_components(cases.TEXTS)
     assert got_components(spark, []) == Counter()
