@@ -1,7 +1,8 @@
 """Main text of HTML pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags. Text in scripts, styles, forms, menus, headers, footers, sidebars and
-the like, or in an element whose class, id or role names such a part, is boilerplate by structure. First pass: link
+the like, or in an element whose class, id or role names such a part, is boilerplate by structure; within a line, such an
+element leaves the block around it as it is. First pass: link
 density, length and stop-word density class each other block as good, bad, near-good or short. Second pass: near-good and
 short blocks take the class of their nearest decided neighbours (good if both sides are good, else near-good blocks need
 one good side and short ones the nearer side). Both passes run on every page. An article or main element is one feature:
@@ -36,14 +37,16 @@ _RAW = frozenset("script style noscript template textarea title iframe noembed n
 _DROPPED = frozenset("head nav header footer aside form button menu dialog label fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|widget|header|masthead|footer|foot|copyright|comments?|comment-?list|respond|replies|reply|disqus|"
-    r"share|sharing|social|related|recommended|tags|toc|search|toolbar|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+_NAMES = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|widget|header|masthead|footer|foot|copyright|comments?|commentlist|respond|replies|reply|disqus|"
+    r"share|sharing|social|related|recommended|tags|toc|search|toolbar|skip)"
 )
+_BESIDE = r"(?:site|top|bottom|left|right|main|primary|secondary|global|wrapper|container|list|items?|box|bar|links?|icons?|buttons?|area|slot)"
+#: A class token or id: a name, also with words of place or form beside it (main-nav, ad_slot), but not with others (no-sidebar).
+_NAMED = re.compile(rf"(?:{_BESIDE}[_-]+)*{_NAMES}(?:[_-]+(?:{_NAMES}|{_BESIDE}))*", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _STOP = frozenset(STOP_WORDS.split())
 
 #: Production thresholds: characters, stop words per word, linked share of the characters.
@@ -67,6 +70,7 @@ class _Open:
     tag: str
     boiler: bool
     article: bool
+    muted: bool = False  # inside a part of a line that is boilerplate: its text is none of the block's
 
 
 @dataclass
@@ -75,6 +79,7 @@ class _Reader:
 
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)  # of the open elements in the stack, by tag
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
@@ -87,7 +92,7 @@ class _Reader:
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not (self.stack and self.stack[-1].muted):
             decoded = html.unescape(raw)
             self.parts.append(decoded)
             if self.links:
@@ -103,25 +108,34 @@ class _Reader:
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             return
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         top = self.stack[-1] if self.stack else _Open("", False, False)
         named = tag not in ("html", "body") and attributes and _named(attributes)
         boiler = top.boiler or bool(named and tag not in ("article", "main")) or tag in _DROPPED
         if tag in _BLOCK or tag in _DROPPED or named:
-            self.stack.append(_Open(tag, boiler, top.article or tag in ("article", "main")))
+            muted = top.muted or bool(named and tag not in _BLOCK and tag not in _DROPPED)
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(_Open(tag, top.boiler if muted else boiler, top.article or not muted and tag in ("article", "main"), muted))
+
+    def cut(self, k: int) -> None:
+        for o in self.stack[k:]:
+            self.places[o.tag].pop()
+        del self.stack[k:]
 
     def close(self, tag: str, implied: bool = False) -> None:
         if tag in _BLOCK:
             self.flush()
         if tag == "a":
             self.links = 0
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[k].tag == tag:
-                self.flush()
-                del self.stack[k:]
-                return
-            if tag not in ("article", "main", "body", "html") and self.stack[k].tag in ("article", "main"):
-                return  # a stray end tag does not end the article
+        k = self._last(tag)
+        if k < 0 or tag not in ("article", "main", "body", "html") and k < max(self._last("article"), self._last("main")):
+            return  # a stray end tag does not end the article
+        self.flush()
+        self.cut(k)
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
 
     def page(self, source: str) -> list[Block]:
         at, n = 0, len(source)
@@ -159,7 +173,7 @@ def _named(attributes: str) -> bool:
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NAMES.search(value):
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_NAMED.fullmatch(x) for x in value.split()):
             return True
     return False
 

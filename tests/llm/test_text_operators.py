@@ -336,6 +336,21 @@ def test_html_without_article():
     assert good.strip() in text and "Also brief." in text and "Link one" not in text and "Home" not in text
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>long text <span class="share">x</span> more</p></article>', "long text more"),
+        ('<article><div>long text <span class="ad">x<div>y</div></span> more</div></article>', "long text more"),
+        ('<article><p style="overflow:hidden">a</p><p><b data-id="toc" title=\'class="ad"\'>b</b></p><p data-x="role=menu hidden">c</p></article>', "a b c"),
+        ('<article><div class="content no-sidebar"><p class="with-comments">a</p></div><p class="main-nav">b</p><p class="x AD-slot">c</p><p hidden>d</p></article>', "a"),
+        ("<div class=ad>" + "<div>" * 300 + "x" + "</ad>" * 300 + "</div>" * 301 + "<article>a</article>", "a"),
+        ("<article><nav>" + "<div>" * 300 + "x</nav>b</article>", "b"),
+    ],
+)
+def test_html_names(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_two_passes_beside_an_article():
     good = "The river of the morning is in the house and it was to be seen that the light of the day had come to them all, as it has in the past and will be again for all of us who are here. " * 2
     links = "<p>" + "<a href=/x>More of the links that are here for all</a>, and " * 4 + "</p>"
