@@ -1,6 +1,6 @@
 """URL filtering: fixed host and path rules first, then association rules that Spark's FP-growth mines from labels.
 
-URLs become sets of tokens (host suffixes, path heads, file extension, query keys). The labelled ones, with their label
+URLs become sets of tokens (host suffixes, path segments, file extension, query keys). The labelled ones, with their label
 as one more token, go through FP-growth; rules that imply the block label are pruned by support, confidence, and by any
 shorter rule that already covers them. Each rule is filed in an inverted index under its rarest token. A token set looks
 its tokens up and checks the found rules for containment; equal token sets are matched once.
@@ -72,15 +72,15 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "0"), "/"), lambda x: x != "")
-    heads = F.transform(F.slice(parts, 1, 2), lambda x: F.concat(F.lit("path="), x))
+    segments = F.transform(parts, lambda x: F.concat(F.lit("path="), x))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.substring_index(x, "=", 1)))
-    every = F.concat(F.when(host != "", suffixes).otherwise(F.array().cast("array<string>")), heads, F.when(ending != "", F.array(F.concat(F.lit("end="), ending))).otherwise(F.array().cast("array<string>")), keys)
+    every = F.concat(F.when(host != "", suffixes).otherwise(F.array().cast("array<string>")), segments, F.when(ending != "", F.array(F.concat(F.lit("end="), ending))).otherwise(F.array().cast("array<string>")), keys)
     return F.array_sort(F.array_distinct(every))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.8, longest: int = 4) -> DataFrame:
+def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """Rules (antecedent, support, confidence) that imply the block label, from rows of (tokens, bad).
 
     A rule needs a share of `min_support` of the rows, and `min_rows` of them, so that few labels make no rules.
@@ -92,7 +92,7 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_rows: int =
         return empty
     items = rows.select(F.concat("tokens", F.array(F.when(F.col("bad"), _BAD).otherwise(_GOOD))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence, numPartitions=shuffle_partitions(rows.sparkSession)).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == _BAD) & (F.size("antecedent") <= longest) & ~F.array_contains("antecedent", _GOOD))
+    found = model.associationRules.where((F.element_at("consequent", 1) == _BAD) & ~F.array_contains("antecedent", _GOOD))
     found = written(found.select(F.array_sort("antecedent").alias("antecedent"), "support", "confidence"), "url-rules")
     return found.join(_covered(found), "antecedent", "left_anti")
 

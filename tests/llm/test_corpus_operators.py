@@ -270,6 +270,15 @@ def plain_rules(rows, share, least, confidence, longest):
     return {c for c in good if not any(set(d) < set(c) for d in good)}
 
 
+def test_rules_of_deep_segments_and_many_tokens(spark):
+    five = ["p", "q", "r", "s", "t"]
+    urls = ["http://a.info/en/shop/casino/x"] * 30 + ["http://a.info/en/shop/books/x"] * 30 + ["http://b.org/" + "/".join(five)] * 30
+    urls += ["http://b.org/" + "/".join(x for x in five if x != gone) for gone in five] * 30
+    bad = [k < 30 or 60 <= k < 90 for k in range(len(urls))]
+    got = url_filter.judged(pages(spark, urls), spark.createDataFrame([(k, int(not b), 0) for k, b in enumerate(bad)], LABELS)).collect()
+    assert {r["id"]: r["verdict"] == "block" for r in got} == dict(enumerate(bad))
+
+
 def test_mined_rules_equal_enumeration(spark):
     rnd = random.Random(5)
     urls, labels = [], []
