@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import new_path, shared_dir, ship_package, written
+from ..session import new_path, scratch, shared_dir, ship_package, written
 
-__all__ = ["fresh", "new_path", "ready", "release_memory", "shared_dir", "shuffle_partitions", "table", "tidied", "written"]
+__all__ = ["fresh", "new_path", "ready", "release_memory", "scratch", "shared_dir", "shuffle_partitions", "table", "tidied", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Defined results: a null or empty text has no words and fails the base rule; words are maximal runs of anything but ASCII
-white space; a repeated row is judged twice, alike; an empty table gives an empty result. Extra columns are ignored.
+white space; a text without letters has no share of capitals and passes that rule; very long texts are measured whole; a
+repeated row is judged twice, alike; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,15 +107,15 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-#: Ratios, as SQL over the measures.
+#: Ratios, as SQL over the measures; null, which no rule fails, where there is nothing to divide by.
 RATIOS = {
-    "mean_word_chars": "word_chars / n_words",
-    "symbol_ratio": "n_symbols / n_words",
+    "mean_word_chars": "try_divide(word_chars, n_words)",
+    "symbol_ratio": "try_divide(n_symbols, n_words)",
     "max_word_chars": "max_word_chars",
-    "dup_line_ratio": "n_dup_lines / n_lines",
-    "letter_ratio": "n_letters / word_chars",
-    "capital_ratio": "n_capitals / n_letters",
-    "stop_word_ratio": "n_stop_words / n_words",
+    "dup_line_ratio": "try_divide(n_dup_lines, n_lines)",
+    "letter_ratio": "try_divide(n_letters, word_chars)",
+    "capital_ratio": "try_divide(n_capitals, n_letters)",
+    "stop_word_ratio": "try_divide(n_stop_words, n_words)",
 }
 
 

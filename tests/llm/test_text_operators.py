@@ -54,6 +54,38 @@ def test_drop_copies(spark):
     assert exact_dedup.exact_groups(cases.empty(spark)).count() == 0
 
 
+def test_one_identifier_with_different_texts(spark):
+    rows = [(5, "a"), (7, "a"), (5, "b"), (8, "c"), (8, "C"), (None, "c"), (None, "c")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, cases.SCHEMA), keep="largest").collect()
+    assert Counter(map(tuple, kept)) == Counter([(7, "a"), (5, "b"), (8, "c"), (8, "C"), (None, "c"), (None, "c")])
+
+
+def test_runs_are_merged_and_probed(spark):
+    rows = [(k, f"text {k % 700}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA).repartition(9)
+    log = exact_dedup.DigestLog(docs, "doc_id", "text", exact_dedup.sha256_bytes)
+    runs = log.flush()
+    assert len(runs) == exact_dedup.MEMTABLES and sum(r.count() > 0 for r in runs) > 1
+    merge = log.merged(runs[0], runs[1])
+    assert merge.agg(F.sum("n")).first()[0] == runs[0].agg(F.sum("n")).first()[0] + runs[1].agg(F.sum("n")).first()[0]
+    one = log.compacted()
+    assert Counter(map(tuple, one.select("smallest", "largest", "n").collect())) == Counter((k, k + 700 if k < 300 else k, 2 if k < 300 else 1) for k in range(700))
+    bloom = exact_dedup.BloomFilter(one.where("n > 1"))
+    passed = bloom.passed(log.entries.join(one.select("digest", "n"), "digest"), "digest", "maybe").groupBy("n").agg(F.avg(F.col("maybe").cast("int")).alias("share"))
+    share = {r["n"]: r["share"] for r in passed.collect()}
+    assert share[2] == 1.0 and share[1] < 0.05
+    log.close()
+
+
+def test_merging_runs_needs_no_shuffle(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 70}") for k in range(100)], cases.SCHEMA).repartition(9)
+    log = exact_dedup.DigestLog(docs, "doc_id", "text", exact_dedup.sha256_bytes)
+    a, b, *_ = log.flush()
+    plan = a.hint("merge").join(b.hint("merge"), "digest", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    log.close()
+
+
 # -- quality rules
 
 
@@ -84,6 +116,12 @@ def test_quality_verdicts(spark):
     assert got[1] == (True, []) and "symbols per word" in got[2][1] and "capital letters" in got[3][1]
 
 
+def test_quality_of_texts_without_letters(spark):
+    rows = [(1, " ".join(map(str, range(30)))), (2, "12 " * 40), (3, "!? " * 25)]
+    got = {r["id"]: r for r in quality.judged(cases.table(spark, rows)).collect()}
+    assert all("letters" in r["failed"] and "capital letters" not in r["failed"] and not r["kept"] for r in got.values())
+
+
 @pytest.mark.parametrize("module", [exact_dedup, quality])
 def test_native_queries_equal_sql(spark, module):
     assert rows_of(module.query(spark, SF).toPandas()) == rows_of(duck().execute(module.ORACLE).df())
