@@ -339,9 +339,58 @@ def test_codec_with_dropout():
     assert one.encode(text, "1") == same.encode(text, "1")
     assert len({one.encode(text, "1"), one.encode(text, "2"), other.encode(text, "1"), make(dropout=0.0).encode(text, "1")}) == 4
     assert len(make(dropout=1.0).encode("plain")) == 4 * 6
-    word = "▁" + "thereforeandtherein" * 6
+    word = "▁" + "thereforeandtherein" * 2
     for key in range(50):
-        assert one._linear(word, key) == one._heap(word, key)
+        assert agenda(one, word, key) == one._heap(word, key)
+
+
+def agenda(codec, word, key):
+    """The pieces that a row of the matrix comes to."""
+    (packed,), _ = codec._agendas([word], np.array([key], np.uint64))
+    return [codec.surface[k].decode().replace(" ", "▁") for k in np.frombuffer(packed, "<u4").tolist()]
+
+
+def plain_dropout(codec, text, key):
+    """The agenda written out as a list of all pairs, looked through anew for every candidate."""
+    parts, dropped = [(text[k], k, k + 1) for k in range(len(text))], set()
+    while True:
+        pairs = [(codec.rank[a[0] + b[0]], a[1], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a[0] + b[0] in codec.rank and (a[1], a[2], b[2]) not in dropped]
+        if not pairs:
+            return [p for p, _, _ in parts]
+        k = min(pairs)[2]
+        a, b = parts[k : k + 2]
+        if codec._skips(key, a[1] << 32 ^ b[2]):
+            dropped.add((a[1], a[2], b[2]))
+        else:
+            parts[k : k + 2] = [(a[0] + b[0], a[1], b[2])]
+
+
+def test_dropout_equals_a_plain_agenda():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model(), dropout=0.3)
+    for word in ("▁organisation", "▁international", "▁aaaaaaaa", "▁thereforetherein", "▁▁▁x", "▁été"):
+        for key in range(200):
+            want = plain_dropout(codec, word, key)
+            assert agenda(codec, word, key) == want == codec._heap(word, key)
+
+
+def test_every_occurrence_has_its_own_draw():
+    """What the caches give is what the agenda alone gives, and a word takes many segmentations over documents and places."""
+    import xxhash
+
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    found = Counter()
+    for doc in range(40):
+        text = " ".join(["organisation"] * 50)
+        packed = codec.encode(text, str(doc))
+        base = xxhash.xxh3_64_intdigest(str(doc).encode(), codec.seed)
+        want = []
+        for place in range(1, 51):
+            key = place * 0x9E3779B97F4A7C15 + base & sentencepiece_codec._MASK
+            key = (key ^ key >> 31) * 0xBF58476D1CE4E5B9 & sentencepiece_codec._MASK
+            want.append(codec._packed(plain_dropout(codec, "▁organisation", key)))
+            found[want[-1]] += 1
+        assert packed == b"".join(want)
+    assert len(found) > 40
 
 
 def test_codec_frames(spark):
