@@ -7,26 +7,28 @@ similarity t shares, under ANY global order of the tokens, a token among the fir
    sets a token is and sends repeated tokens back to their blocks. A set with fewer than ceil(t|x|) repeated tokens has no
    partner and leaves. Single tokens never travel again: they stand first in every order and cannot match.
 2. Stars. Under the first order (rarest token first) an inverted index lists the sets that share a prefix token. Each
-   set is verified against one pivot, the fullest common set of most of its lists, so a group of k near copies costs k
-   verifications. Verified links make components.
+   set is held against one pivot, the fullest common set of most of its lists, so a group of k near copies costs k
+   verifications. Only pairs that share a prefix token under two further orders too (rarity classes with keyed hashes)
+   are verified; links make components.
 3. Rest. Only pairs across components remain. At the first prefix token that two sets share, everything they have in
    common comes at or after it, so with the list's pivot p the overlap is at most min(|x & p|, |y & p|) + min(|x - p|,
-   |y - p|) from there on; pairs that cannot reach t go. What is left must also share prefix tokens under two further
-   orders (rarity classes with keyed hashes), and is then verified. No pair of linked sets is lost, and none is capped.
+   |y - p|) from there on; pairs that cannot reach t go. What is left must also share prefix tokens under the further
+   orders, and is then verified. No pair of linked sets is lost, and none is capped.
 4. Number of links. Every link is within a component, so each component's sets meet in cells of two blocks of sets, large
    components cut by size and hash. Pairs of a cell that share a prefix token under all three orders are verified, and
    every set gets the number of rows that it is linked with, its own copies included.
 
 Defined results: without words or text the set is empty, n_shingles is 0 and the document is linked with nothing; with
-fewer than n words the whole sequence is one shingle; a null identifier stays null and never names a component; repeated
-rows are linked; an empty table gives an empty result. Extra columns are ignored.
+fewer than n words the whole sequence is one shingle; very long texts count whole; a null identifier stays null and never
+names a component; identifiers may be numbers or texts, and rows of one identifier with different texts are documents of
+their own; repeated rows are linked; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Tokens that a task packs at a time, and hash buckets for each shuffle partition.
 BLOCK_TOKENS, BUCKETS_PER_PARTITION = 1_000_000, 3
+#: Compressed bytes of input for each hash bucket, where that makes more buckets (about three times as much in memory).
+BUCKET_BYTES = 16 << 20
 #: Sets and tokens in a block of a component; columns of a cell's matrices at a time.
 BLOCK_SETS, CELL_TOKENS, CELL_COLUMNS = 512, 500_000, 4096
 #: Copies of one set are heavy from this share of the rows on: at most so many sets, which may be broadcast.
@@ -87,8 +91,20 @@ def token_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray
     return np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))]), acc
 
 
-_PACKED = "bucket int, block long, id long, place int, digest binary, n long, counts binary, tokens binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("digest", pa.binary()), ("n", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _schemas(fields: str) -> Callable[[pa.DataType], pa.Schema]:
+    """The Arrow schema of the fields for a type of `id`."""
+    pairs = [f.split() for f in fields.split(", ")]
+    return lambda kind: pa.schema([(name, kind if name == "id" else _ARROW[t]) for name, t in pairs])
+
+
+#: What blocks send to buckets, buckets to blocks, and the sets; ID stands for the type of the identifiers, key for the row's text.
+_PACKED = "bucket int, block long, id ID, key long, place int, digest binary, n long, counts binary, tokens binary"
+_SENT = "block long, id ID, key long, place int, digest binary, n long, docs binary, tokens binary, dfs binary"
+_SETS = "id ID, key long, digest binary, n long, tokens binary, dfs binary"
+_packed_schema, _sent_schema, _sets_schema = map(_schemas, (_PACKED, _SENT, _SETS))
 
 
 def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
@@ -99,6 +115,7 @@ def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
 def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     """A row per document (its block, place in the block, digest, set size) and a row per block and bucket (its tokens)."""
     task, made = TaskContext.get().partitionId(), 0
+    schema = _packed_schema(pa.int64())
     seen: dict[bytes, int] = {}
     sets: list[np.ndarray] = []
     total = 0
@@ -117,9 +134,10 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int, block_toke
             rows = [(b, np.bincount(doc[cuts[b] : cuts[b + 1]], minlength=m).astype("<u4").tobytes(), tokens[cuts[b] : cuts[b + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()) for b in range(lo, min(buckets, lo + 64)) if cuts[b] < cuts[b + 1]]
             if rows:
                 b, counts, parts = zip(*rows, strict=True)
-                yield _rows(_PACKED_ARROW, len(b), bucket=b, block=[block()] * len(b), counts=counts, tokens=parts)
+                yield _rows(schema, len(b), bucket=b, block=[block()] * len(b), counts=counts, tokens=parts)
 
     for batch in batches:
+        schema = _packed_schema(batch.schema.field(0).type)
         offsets, tokens = token_sets(batch.column(1).to_pylist(), size)
         places, digests = [], []
         for k in range(batch.num_rows):
@@ -133,7 +151,7 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int, block_toke
             else:  # a copy within the block, or an empty set
                 places.append(None)
             digests.append(digest)
-        yield _rows(_PACKED_ARROW, batch.num_rows, bucket=[xxhash.xxh32_intdigest(str(block())) % buckets] * batch.num_rows, block=[block()] * batch.num_rows, id=batch.column(0), place=places, digest=digests, n=np.diff(offsets))
+        yield _rows(schema, batch.num_rows, bucket=[xxhash.xxh32_intdigest(str(block())) % buckets] * batch.num_rows, block=[block()] * batch.num_rows, id=batch.column(0), key=batch.column(2), place=places, digest=digests, n=np.diff(offsets))
         if total >= block_tokens:
             yield from packed()
             seen, sets, total, made = {}, [], 0, made + 1
@@ -141,15 +159,12 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int, block_toke
         yield from packed()
 
 
-_SENT = "block long, id long, place int, digest binary, n long, docs binary, tokens binary, dfs binary"
-_SENT_ARROW = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("digest", pa.binary()), ("n", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
-
-
 def _count(group: pa.Table) -> pa.Table:
     """Of one bucket: the tokens that several sets have, sent back to each block with the number of sets."""
     whole = group.column("tokens").is_null()
-    docs = group.filter(whole).select(["block", "id", "place", "digest", "n"])
-    out = [_rows(_SENT_ARROW, docs.num_rows, **{c: docs.column(c).combine_chunks() for c in docs.column_names})]
+    docs = group.filter(whole).select(["block", "id", "key", "place", "digest", "n"])
+    schema = _sent_schema(group.schema.field("id").type)
+    out = [_rows(schema, docs.num_rows, **{c: docs.column(c).combine_chunks() for c in docs.column_names})]
     rows = group.filter(pc.invert(whole))
     if rows.num_rows:
         top = np.uint64(group.column("bucket")[0].as_py() % 256) << np.uint64(56)
@@ -179,12 +194,8 @@ def _count(group: pa.Table) -> pa.Table:
                 found.append((block, own[keep].tobytes(), (part[keep] | top).astype("<u8").tobytes(), own_df[keep].tobytes()))
         if found:
             block, docs_, tokens_, dfs = zip(*found, strict=True)
-            out.append(_rows(_SENT_ARROW, len(found), block=block, docs=docs_, tokens=tokens_, dfs=dfs))
-    return pa.Table.from_batches(out, schema=_SENT_ARROW)
-
-
-_SETS = "id long, digest binary, n long, tokens binary, dfs binary"
-_SETS_ARROW = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+            out.append(_rows(schema, len(found), block=block, docs=docs_, tokens=tokens_, dfs=dfs))
+    return pa.Table.from_batches(out, schema=schema)
 
 
 def _needed(n, percent: int):
@@ -213,7 +224,7 @@ def _gather(group: pa.Table, percent: int) -> pa.Table:
     cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=m))])
     some = [p is not None and bool(good[p]) for p in places]
     cut = lambda x: [x[cuts[p] : cuts[p + 1]].tobytes() if ok else None for p, ok in zip(places, some, strict=True)]
-    return pa.Table.from_batches([_rows(_SETS_ARROW, docs.num_rows, id=docs.column("id").combine_chunks(), digest=docs.column("digest").combine_chunks(), n=sizes, tokens=cut(tokens), dfs=cut(dfs))])
+    return pa.Table.from_batches([_rows(_sets_schema(group.schema.field("id").type), docs.num_rows, id=docs.column("id").combine_chunks(), key=docs.column("key").combine_chunks(), digest=docs.column("digest").combine_chunks(), n=sizes, tokens=cut(tokens), dfs=cut(dfs))])
 
 
 def _prefix(n: int, have: int, percent: int) -> int:
@@ -248,20 +259,44 @@ def _linked(overlap, n, m, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
 
+def _under(tokens: np.ndarray, dfs: np.ndarray, prefix: int, key: np.uint64) -> np.ndarray:
+    """The prefix under another order, ascending by token."""
+    order = np.lexsort((_mixed(tokens * key), np.log2(dfs).astype(int)))
+    return np.sort(tokens[order[:prefix]])
+
+
+class _Opened:
+    """Sets of a batch by digest: ascending tokens, and the prefixes under the further orders when they are asked for."""
+
+    def __init__(self, percent: int):
+        self.percent, self.memo = percent, {}
+
+    def __call__(self, digest: bytes, n: int, tokens: pa.Scalar, dfs: pa.Scalar) -> tuple[np.ndarray, Callable[[], list[np.ndarray]]]:
+        if digest not in self.memo:
+            own, df = np.frombuffer(tokens.as_buffer(), "<u8"), np.frombuffer(dfs.as_buffer(), "<u4")
+            self.memo[digest] = np.sort(own), lru_cache(1)(lambda: [_under(own, df, _prefix(n, len(own), self.percent), key) for key in _ORDER_KEYS])
+        return self.memo[digest]
+
+
+def _shares(one: tuple, other: tuple) -> bool:
+    """Whether two opened sets share a prefix token under each further order."""
+    return all(_sorted_in(p, q).any() for p, q in zip(one[1](), other[1](), strict=True))
+
+
 def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A row per prefix token: common and further tokens with the pivot from there on, and whether they are linked."""
     names = ["token", "digest", "n", "pivot", "common", "further", "linked"]
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
-        owner = []
-        digests, sizes, pivots, pivot_sizes = (batch.column(j).to_pylist() for j in (0, 1, 3, 4))
-        linked = []
-        for k in range(batch.num_rows):
+        columns: list[list] = [[], [], []]
+        owner, linked, opened = [], [], _Opened(percent)
+        digests, sizes, pivots, pivot_sizes = (batch.column(j).to_pylist() for j in (0, 1, 4, 5))
+        for k, (digest, n, pivot, m) in enumerate(zip(digests, sizes, pivots, pivot_sizes, strict=True)):
             own = np.frombuffer(batch.column(2)[k].as_buffer(), "<u8")
-            other = np.sort(np.frombuffer(batch.column(5)[k].as_buffer(), "<u8"))
-            both = _sorted_in(own, other)
-            linked.append(bool(_linked(int(both.sum()), sizes[k], pivot_sizes[k], percent)) and pivots[k] != digests[k])
-            p = _prefix(sizes[k], len(own), percent)
+            x, y = opened(digest, n, batch.column(2)[k], batch.column(3)[k]), opened(pivot, m, batch.column(6)[k], batch.column(7)[k])
+            both = _sorted_in(own, y[0])
+            # The pair comes from a list of the first order; it is verified if the further orders let it pass.
+            linked.append(pivot != digest and _shares(x, y) and bool(_linked(int(both.sum()), n, m, percent)))
+            p = _prefix(n, len(own), percent)
             columns[0].append(own[:p].astype("<i8"))
             columns[1].append(np.cumsum(both[::-1])[::-1][:p])
             columns[2].append(np.cumsum(~both[::-1])[::-1][:p])
@@ -272,31 +307,15 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([cat(0, pa.int64()), pa.array(digests, pa.binary()).take(at), pa.array(sizes, pa.int64()).take(at), pa.array(pivots, pa.binary()).take(at), cat(1, pa.int64()), cat(2, pa.int64()), pa.array(linked).take(at)], names=names)
 
 
-def _under(tokens: np.ndarray, dfs: np.ndarray, prefix: int, key: np.uint64) -> np.ndarray:
-    """The prefix under another order, ascending by token."""
-    order = np.lexsort((_mixed(tokens * key), np.log2(dfs).astype(int)))
-    return np.sort(tokens[order[:prefix]])
-
-
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of candidates of the first order, those that share a prefix token under each further order and are linked."""
     for batch in batches:
-        keep = []
-        memo: dict[bytes, tuple] = {}
-
-        def opened(digest: bytes, n: int, tokens: pa.Scalar, dfs: pa.Scalar, memo: dict = memo) -> tuple:
-            if digest not in memo:
-                own, df = np.frombuffer(tokens.as_buffer(), "<u8"), np.frombuffer(dfs.as_buffer(), "<u4")
-                memo[digest] = np.sort(own), [_under(own, df, _prefix(n, len(own), percent), key) for key in _ORDER_KEYS]
-            return memo[digest]
-
+        keep, opened = [], _Opened(percent)
         c = [batch.column(j) for j in range(8)]
         for k in range(batch.num_rows):
             n, m = c[2][k].as_py(), c[5][k].as_py()
-            x, xs = opened(c[0][k].as_py(), n, c[3][k], c[4][k])
-            y, ys = opened(c[1][k].as_py(), m, c[6][k], c[7][k])
-            shared = all(_sorted_in(p, q).any() for p, q in zip(xs, ys, strict=True))
-            keep.append(shared and bool(_linked(int(_sorted_in(x, y).sum()), n, m, percent)))
+            x, y = opened(c[0][k].as_py(), n, c[3][k], c[4][k]), opened(c[1][k].as_py(), m, c[6][k], c[7][k])
+            keep.append(_shares(x, y) and bool(_linked(int(_sorted_in(x[0], y[0]).sum()), n, m, percent)))
         yield pa.RecordBatch.from_arrays([c[0].filter(pa.array(keep, pa.bool_())), c[1].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
@@ -408,13 +427,20 @@ def _counted(nodes: DataFrame, label: DataFrame, copies: DataFrame, percent: int
     return rows.mapInArrow(tidied(partial(_cells, percent=percent)), "digest binary, links long").groupBy("digest").agg(F.sum("links").alias("links"))
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Hash buckets by the session's partitions, and more where the input's size asks for them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES if size < 1 << 56 else 0)
+
+
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, count_links: bool = True) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links reach), digest, and n_links (with how
-    many other rows it is linked) unless that is not asked for."""
-    spark = docs.sparkSession
-    ready(spark)
-    buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidied(partial(_pack, size=size, buckets=buckets, block_tokens=block_tokens)), _PACKED)
+    """One row per document: id, key (of its text), n_shingles, component_id (the smallest id that links reach), first
+    (whether it is its component's smallest by id and key), digest, and n_links (with how many other rows it is linked)
+    unless that is not asked for."""
+    ready(docs.sparkSession)
+    rows, buckets, kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")), _buckets(docs), docs.schema[id_col].dataType.simpleString()
+    typed = lambda fields: fields.replace("ID", kind)
+    packed = rows.mapInArrow(tidied(partial(_pack, size=size, buckets=buckets, block_tokens=block_tokens)), typed(_PACKED))
 
     def count(group: pa.Table) -> pa.Table:
         release_memory()  # of the group before
@@ -424,8 +450,8 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         release_memory()
         return _gather(group, percent)
 
-    sent = packed.groupBy("bucket").applyInArrow(count, _SENT)
-    sets = written(sent.groupBy("block").applyInArrow(gather, _SETS), "jaccard-sets")
+    sent = packed.groupBy("bucket").applyInArrow(count, typed(_SENT))
+    sets = written(sent.groupBy("block").applyInArrow(gather, typed(_SETS)), "jaccard-sets")
 
     nodes = written(sets.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("dfs").alias("dfs")), "jaccard-nodes")
     links = _links(nodes, percent)
@@ -442,12 +468,11 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     stars = written(_against(nodes, choice, percent), "jaccard-stars")
 
     # Lists in which all sets are linked to one pivot are done. In the others, each set is also held against the list's
-    # most frequent pivot, so that all of a list's sets are known relative to one set.
+    # most frequent pivot, so that all of a list's sets are known relative to one set. Long lists shrink by pivot first.
     near = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("digest"))
-    open_ = stars.groupBy("token").agg(F.min(near).alias("low"), F.max(near).alias("high")).where("low <> high").select("token")
-    held = stars.join(open_, "token")
-    tops = held.groupBy("token", "pivot").agg(F.count(F.lit(1)).alias("sets")).groupBy("token").agg(F.max(F.struct("sets", "pivot")).alias("top")).select("token", "top.pivot")
-    lists = written(held.withColumnRenamed("pivot", "own").join(tops, "token"), "jaccard-lists")
+    by_pivot = stars.groupBy("token", "pivot").agg(F.count(F.lit(1)).alias("sets"), F.min(near).alias("low"), F.max(near).alias("high"))
+    open_ = by_pivot.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.struct("sets", "pivot")).alias("top")).where("low <> high")
+    lists = written(stars.withColumnRenamed("pivot", "own").join(open_.select("token", "top.pivot"), "token"), "jaccard-lists")
     others = written(_against(nodes, lists.where("own <> pivot").select("digest", "pivot").distinct(), percent), "jaccard-stars")
     links = stars.where("linked").select("digest", "pivot").unionByName(others.where("linked").select("digest", "pivot"))
     first = written(links.select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-links")
@@ -459,7 +484,7 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
     entries = entries.join(root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     entries = written(entries, "jaccard-entries")
     mixed = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", F.struct("common", "n")).alias("main")).where("low <> high").select("token", "main")
-    probed = entries.join(mixed, "token")
+    probed = written(entries.join(mixed, "token"), "jaccard-probed")  # so that the join below can split long lists
     x = probed.where("root <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("digest", "n", "common", "further", "root")))
     y = probed.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("digest", "n", "common", "further", "root")))
     most = F.least("x_common", "y_common") + F.least("x_further", "y_further")
@@ -475,20 +500,21 @@ def _links(nodes: DataFrame, percent: int) -> DataFrame:
 
 def _against(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Each set of the pairs (digest, pivot) held against the pivot, from each of its prefix tokens on."""
-    left = nodes.select("digest", "n", "tokens").join(pairs, "digest")
-    right = nodes.select(F.col("digest").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens"))
-    rows = left.join(right, "pivot").select("digest", "n", "tokens", "pivot", "pivot_n", "pivot_tokens")
+    left = nodes.join(pairs, "digest")
+    right = nodes.select(F.col("digest").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "tokens", "dfs")))
+    rows = left.join(right, "pivot").select("digest", "n", "tokens", "dfs", "pivot", "pivot_n", "pivot_tokens", "pivot_dfs")
     return rows.mapInArrow(tidied(partial(_stars, percent=percent)), "token long, digest binary, n long, pivot binary, common long, further long, linked boolean")
 
 
 def _named(sets: DataFrame, label: DataFrame, counted: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """The component and number of links of each row, by its set; heavy sets are broadcast, so that a hot group is not one task's."""
-    docs = sets.select("id", "digest", F.col("n").alias("n_shingles"))
-    copies = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    docs = sets.select("id", "key", "digest", F.col("n").alias("n_shingles"))
+    named_by = F.when(F.col("id").isNotNull(), F.struct("id", "key"))
+    copies = docs.where("digest is not null").groupBy("digest").agg(F.min(named_by).alias("least"), F.count(F.lit(1)).alias("rows"))
     rooted = copies.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     rooted = written(rooted, "jaccard-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members")).where("members > 1")
-    named = rooted.join(least, "root").select("digest", "component_id", "rows")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("rows").alias("members")).where("members > 1").select("root", F.col("least.id").alias("component_id"), F.col("least.key").alias("least_key"))
+    named = rooted.join(least, "root").select("digest", "component_id", "least_key", "rows")
     more = []
     if counted:
         named = named.join(counted(rooted), "digest", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1).drop("links")
@@ -500,17 +526,22 @@ def _named(sets: DataFrame, label: DataFrame, counted: Callable[[DataFrame], Dat
     hot = docs.join(heavy, "digest")
     rest = docs.join(heavy, "digest", "left_anti").join(light, "digest", "left")
     every = hot.unionByName(rest)
-    return every.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "digest", *more)
+    first = F.col("component_id").isNull() | F.col("id").isNull() | (F.col("id") == F.col("component_id")) & (F.col("key") == F.col("least_key"))
+    return every.select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), first.alias("first"), "digest", *more)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component; columns stay as they are, rows with a null id stay."""
-    gone = fresh(docs, "linked_id")
-    dropped = linked_groups(docs, id_col, text_col, count_links=False).where("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    """The documents that are the first of their component, by identifier and text; columns stay as they are.
+
+    Rows with a null identifier stay, and so do repeated rows of a document that stays.
+    """
+    gone, key, gone_key = fresh(docs, "linked_id"), fresh(docs, "text_key"), fresh(docs, "linked_key")
+    dropped = linked_groups(docs, id_col, text_col, count_links=False).where("not first").select(F.col("id").alias(gone), F.col("key").alias(gone_key)).distinct()
     dropped = written(dropped, "jaccard-dropped")
-    if dropped.count() <= 500_000:  # 8 bytes each; else a shuffled join
+    if dropped.count() <= 500_000:  # 16 bytes each; else a shuffled join
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col] == dropped[gone], "left_anti")
+    rows = docs.withColumn(key, F.xxhash64(text_col))
+    return rows.join(dropped, (rows[id_col] == dropped[gone]) & (rows[key] == dropped[gone_key]), "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

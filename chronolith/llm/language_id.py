@@ -5,8 +5,9 @@ log-probability matrix (languages x BUCKETS, float32) is broadcast, and batches
 the n-grams' buckets and adding them up by document.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text when no labelled text has a
-letter. A null identifier counts as the empty string for the fold. Very long texts are scored whole, in pieces. Repeated
-rows get equal results, an empty table an empty one; extra columns are ignored.
+letter. A null identifier counts as the empty string for the fold. Very long texts are scored whole, in pieces. Of
+languages that tie the first by name is taken. Repeated rows get equal results, an empty table an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import fresh, ready, table, tidied
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
-#: Languages in the matrix at most, the most frequent ones, so that it has a bounded size (32 MB).
-MOST_LANGUAGES = 256
+#: Languages in a block of the matrix (16 MB), which is one broadcast; batches go over all blocks.
+BLOCK_LANGUAGES = 128
 #: Labelled rows that training samples for each language at most (on average; the sample is drawn by a hash of the id).
 ROWS_PER_LANGUAGE = 4000
 UNKNOWN = "und"
@@ -108,31 +109,38 @@ def _add(group: pa.Table) -> pa.Table:
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities: a row per language, a column per bucket."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, ROWS_PER_LANGUAGE / r["count"]) for r in seen}
-    if not share:
-        return [], np.zeros((0, BUCKETS + 1), np.float32)
-    limits = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
-    drawn = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1_000_000)) < F.coalesce(limits[F.col("lang")], F.lit(0))).select("text", "lang")
+    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
+    limits = F.broadcast(seen.select("lang", F.least(F.lit(1.0), ROWS_PER_LANGUAGE / F.col("count")).alias("share")))  # a row per language
+    # By text too, so that rows without an identifier are drawn each on its own.
+    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.when(F.col("id").isNull(), F.col("text"))), F.lit(1_000_000))
+    drawn = rows.join(limits, "lang").where(draw < F.col("share") * 1_000_000).select("text", "lang")
     parts = drawn.mapInArrow(tidied(_count), "lang string, counts binary")
     found = sorted(parts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect(), key=lambda r: r["lang"])
     if not found:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
-    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in found], dtype=np.float64) + SMOOTHING
-    logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    return [r["lang"] for r in found], np.hstack([logs, np.zeros((len(found), 1))]).astype(np.float32)
+    out = np.zeros((len(found), BUCKETS + 1), np.float32)
+    for row, r in zip(out, found, strict=True):
+        counts = np.frombuffer(r["counts"], np.int64) + SMOOTHING
+        row[:BUCKETS] = np.log(counts) - np.log(counts.sum())
+    return [r["lang"] for r in found], out
+
 
+def _broadcast(spark, matrix: np.ndarray) -> list:
+    """The matrix in blocks of languages."""
+    return [spark.sparkContext.broadcast(matrix[k : k + BLOCK_LANGUAGES]) for k in range(0, len(matrix), BLOCK_LANGUAGES)]
 
-def _scorer(langs: list[str], logs):
+
+def _scorer(langs: list[str], blocks: list):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = logs.value
+        m = [row for block in blocks for row in block.value]
         for batch in batches:
             texts = batch.column(batch.schema.names.index("_text")).to_pylist()
-            sums, some = np.zeros((len(langs), len(texts))), np.zeros(len(texts), bool)
+            sums, some, grams = np.zeros((len(langs), len(texts))), np.zeros(len(texts), bool), np.zeros(len(texts))
             if langs:
                 for docs, starts, counts, points in _pieces(texts):
                     some[docs] = True
                     for ids in _buckets(starts, counts, points):
+                        np.add.at(grams, docs, np.add.reduceat(ids < BUCKETS, starts, dtype=np.int64))
                         for k in range(len(langs)):
                             np.add.at(sums[k], docs, np.add.reduceat(m[k][ids], starts, dtype=np.float64))
             best = sums.argmax(axis=0) if langs else np.zeros(len(texts), int)
@@ -140,7 +148,8 @@ def _scorer(langs: list[str], logs):
             odds = 1 / np.exp(sums - top).sum(axis=0) if langs else np.zeros(len(texts))
             keep = [n for n in batch.schema.names if n != "_text"]
             pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), pa.array(pred, pa.string()), pa.array(np.where(some, odds, 0.0))], names=[*keep, "lang_pred", "score"])
+            evidence = np.where(some, top / np.maximum(grams, 1) + np.log(BUCKETS), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in keep), pa.array(pred, pa.string()), pa.array(np.where(some, odds, 0.0)), pa.array(evidence)], names=[*keep, "lang_pred", "score", "evidence"])
 
     return score
 
@@ -150,32 +159,36 @@ def held_out(id_col: Column) -> Column:
 
 
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score."""
+    """One row per document: id, held_out, lang_pred, score (the posterior), evidence (see `accepted`)."""
     ready(docs.sparkSession)
     langs, matrix = train(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
-    logs = docs.sparkSession.sparkContext.broadcast(matrix)
+    logs = _broadcast(docs.sparkSession, matrix)
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(tidied(_scorer(langs, logs)), f"id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(_scorer(langs, logs)), f"id {kind}, held_out boolean, lang_pred string, score double, evidence double")
+
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_evidence: float = 0.0) -> DataFrame:
+    """The documents whose language is recognised; a null language is filled in. Other columns stay as they are.
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised; a null language is filled in. Other columns stay as they are."""
+    The posterior of the best language is near 1 for any longer text, of whatever kind. The evidence does not saturate: the
+    mean log-likelihood ratio of an n-gram between the best language and a uniform one. Texts that are no likelier in any
+    learned language than as random n-grams are not recognised.
+    """
     ready(docs.sparkSession)
     langs, matrix = train(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
-    logs = docs.sparkSession.sparkContext.broadcast(matrix)
-    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    run = _scorer(langs, logs)
+    pred, evidence = fresh(docs, "lang_pred"), fresh(docs, "evidence")
+    run = _scorer(langs, _broadcast(docs.sparkSession, matrix))
 
     def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index(text_col))
             (out,) = run([pa.RecordBatch.from_arrays([text], names=["_text"])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out.columns], names=[*batch.schema.names, pred, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out.column(0), out.column(2)], names=[*batch.schema.names, pred, evidence])
 
-    schema = docs.limit(0).withColumn(pred, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    schema = docs.limit(0).withColumn(pred, F.lit("")).withColumn(evidence, F.lit(0.0)).schema
     rows = docs.mapInArrow(tidied(score_rows), schema)
-    good = rows.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score))
+    good = rows.where((F.col(pred) != UNKNOWN) & (F.col(evidence) > least_evidence))
     return good.withColumn(lang_col, F.coalesce(lang_col, pred)).select(docs.columns)
 
 

@@ -1,15 +1,16 @@
 """Scoring with a bigram model in a trie of Elias-Fano levels.
 
-Training counts words by hash, then pairs of word numbers, packed by task and added up in hash shards. Each shard writes
-its part of the trie to the shared folder: level one holds the word hashes in order with their counts and quantised
-back-off weights; level two holds, for the contexts of the shard, Elias-Fano pointers to their successors, the
-successors themselves, made monotone by adding context rank x vocabulary, and 8-bit quantised log-probabilities. Pairs
-seen once are left to the back-off. Scoring memory-maps the levels and looks up each distinct pair of a block by
-searching the successors of its context.
-
-p(w | c) = max(n(cw) - D, 0) / n(c) + b(c) p(w) for pairs kept, b(c) p(w) else, where b(c) is the mass left over and
-p(w) = (n(w) + 1) / (N + V + 1). The first word of a text has no context. Contexts with a large share of all words are
-spread over the shards by pair (those with over `hot` words, a quarter of a shard's share unless given).
+Training counts words by hash, then pairs of word numbers, packed by task and added up in hash shards; every pair is kept.
+Each shard writes its part of the trie to the shared folder. Level one holds the words by hash: the leading bits are
+implied by a pointer per few words, 32 more bits tell them apart, counts take a byte with longer ones aside, and back-off
+weights are quantised. Level two holds, for the contexts of the shard, Elias-Fano pointers to their successors, the
+successors themselves, made monotone by adding context rank x vocabulary, and 8-bit quantised log-probabilities. Scoring
+memory-maps the levels and looks up each distinct pair of a block by searching the successors of its context. Every shard
+has a file, also an empty one, so a file that is not there is an error and never reads as "no such pair".
+
+p(w | c) = max(n(cw) - D, 0) / n(c) + b(c) p(w), where b(c) is the mass left over and p(w) = (n(w) + 1) / (N + V + 1). The
+first word of a text has no context. Contexts with a large share of all words are spread over the shards by pair (those
+with over `hot` words, a quarter of a shard's share unless given).
 
 Defined results: a null or empty text is the end token alone; a null identifier counts as the empty string for the fold;
 repeated rows get equal scores; with no training text all words are unknown and the model is uniform over one unknown
@@ -18,8 +19,10 @@ word; an empty table gives an empty result. Very long texts are scored whole, in
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from .common import new_path, ready, shuffle_partitions, table, tidied
 from .store import get_arrays, put_arrays
 
 END = b"\n"  # no word holds it
-DISCOUNT, LEAST_PAIR = 0.75, 2
+DISCOUNT = 0.75
 #: Tokens that a task counts or scores at a time.
 BLOCK_TOKENS = 1_000_000
 #: Lowest back-off weight as log10, at the top of 16 bits.
@@ -63,12 +66,12 @@ def _tokens(texts: list[str | None], most: int) -> Iterator[tuple[np.ndarray, li
 
 def _hashed(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct word hashes, ascending; number of each token among them; first place of each part)."""
-    codes: dict[bytes, int] = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*parts)}
-    get = codes.__getitem__
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     sizes = np.array([len(p) for p in parts])
-    h = np.fromiter((x for p in parts for x in map(get, p)), np.uint64, int(sizes.sum()))
-    distinct, which = np.unique(h, return_inverse=True)
-    return distinct, which, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    which = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+    distinct, rank = np.unique(h, return_inverse=True)
+    return distinct, rank[which], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,16 +125,53 @@ def _write_words(group: pa.Table, root: str) -> pa.Table:
     b = group.column("bucket")[0].as_py()
     hashes, counts = _summed(_views(group.column("hashes"), "<u8"), _views(group.column("counts"), "<u4"))
     hashes, counts = hashes[counts > 0], counts[counts > 0]
-    put_arrays(f"{root}/words-{b}", {"hashes": hashes, "counts": counts})
+    put_arrays(f"{root}/words-{b}", _level_one(hashes, counts))
     return pa.table({"bucket": pa.array([b], pa.int32()), "words": pa.array([len(hashes)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "most": pa.array([int(counts.max(initial=0))], pa.int64())})
 
 
-@lru_cache(maxsize=1024)
-def _opened(uri: str) -> tuple[dict, dict] | None:
-    try:
-        return get_arrays(uri)
-    except FileNotFoundError:  # no key fell into this shard
-        return None
+#: Words that share the leading bits of a hash, on average, and the count that stands for one in the table aside.
+_SHARING, _LONG_COUNT = 4, 255
+
+
+def _leading(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The leading bits as places that grow with the hash, and the 32 bits after them."""
+    return (hashes >> np.uint64(64 - width)).astype(np.int64), (hashes << np.uint64(width) >> np.uint64(32)).astype(np.uint32)
+
+
+def _level_one(hashes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The words of one bucket, ascending by hash: about 6 bytes each with its count."""
+    lead = int(hashes[0] >> np.uint64(32)) if len(hashes) else 0
+    span = (int(hashes[-1] >> np.uint64(32)) if len(hashes) else 0) - lead + 1
+    # Leading bits such that a value of them has _SHARING words on average over the bucket's span of the hashes.
+    width = int(np.clip(32 - (max(1, span * _SHARING // max(1, len(hashes)))).bit_length() + 1, 1, 32))
+    head, low = _leading(hashes, width)
+    base = int(head[0]) if len(head) else 0
+    pointers = np.searchsorted(head - base, np.arange((int(head[-1]) if len(head) else 0) - base + 2))
+    long = np.flatnonzero(counts >= _LONG_COUNT)
+    return {"meta": np.array([width, base], np.int64), "pointers": pointers.astype(np.uint32), "low": low, "counts": np.minimum(counts, _LONG_COUNT).astype(np.uint8), "long": long.astype(np.uint32), "long_counts": counts[long].astype(np.int64)}
+
+
+def _find_words(level: dict[str, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place (-1: not there) and count of each hash."""
+    width, base = level["meta"].tolist()
+    head, low = _leading(hashes, width)
+    head -= base
+    inside = (head >= 0) & (head < len(level["pointers"]) - 1)
+    head = np.where(inside, head, 0)
+    at, end = level["pointers"][head].astype(np.int64), np.where(inside, level["pointers"][head + 1], 0).astype(np.int64)
+    place, open_ = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+    while len(open_ := open_[at[open_] < end[open_]]):
+        same = level["low"][at[open_]] == low[open_]
+        place[open_[same]] = at[open_[same]]
+        open_ = open_[~same]
+        at[open_] += 1
+    counts = np.where(place >= 0, level["counts"][place], 0).astype(np.int64) if len(level["counts"]) else np.zeros(len(hashes), np.int64)
+    many = np.flatnonzero(counts == _LONG_COUNT)
+    counts[many] = level["long_counts"][np.searchsorted(level["long"], place[many])]
+    return place, counts
+
+
+_opened = lru_cache(maxsize=1024)(get_arrays)
 
 
 class _Model:
@@ -149,16 +189,12 @@ class _Model:
         cuts = np.searchsorted(_bucket(distinct, self.buckets), np.arange(self.buckets + 1))
         for b in range(self.buckets):
             lo, hi = cuts[b], cuts[b + 1]
-            level = _opened(f"{self.root}/words-{b}") if lo < hi and self.bases[b] < self.bases[b + 1] else None
-            if level is None:
+            if lo == hi or self.bases[b] == self.bases[b + 1]:
                 continue
-            hashes, part = level[0]["hashes"], distinct[lo:hi]
-            at = np.minimum(np.searchsorted(hashes, part), len(hashes) - 1)
-            known = hashes[at] == part
-            ids[lo:hi] = np.where(known, at + self.bases[b], -1)
-            counts[lo:hi] = np.where(known, level[0]["counts"][at], 0)
-            if backoff and (rest := _opened(f"{self.root}/backoff-{b}")):
-                weights[lo:hi] = np.where(known, rest[0]["weights"][at] * (_BACKOFF_FLOOR / 65535), 0.0)
+            at, counts[lo:hi] = _find_words(_opened(f"{self.root}/words-{b}")[0], distinct[lo:hi])
+            ids[lo:hi] = np.where(at >= 0, at + self.bases[b], -1)
+            if backoff:
+                weights[lo:hi] = np.where(at >= 0, _opened(f"{self.root}/backoff-{b}")[0]["weights"][at] * (_BACKOFF_FLOOR / 65535), 0.0)
         return ids, counts, weights
 
     def shard(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -174,9 +210,8 @@ class _Model:
         cuts = np.searchsorted(to[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             mine = order[cuts[s] : cuts[s + 1]]
-            level = _opened(f"{self.root}/pairs-{s}") if len(mine) else None
-            if level is not None:
-                out[mine] = _successors(*level, contexts[mine], words[mine])
+            if len(mine):
+                out[mine] = _successors(*_opened(f"{self.root}/pairs-{s}"), contexts[mine], words[mine])
         return out
 
 
@@ -185,6 +220,8 @@ def _successors(arrays: dict[str, np.ndarray], meta: dict, contexts: np.ndarray,
     out = np.full(len(contexts), np.nan)
     part = lambda name: {k: arrays[f"{name}.{k}"] for k in ("low", "high", "ones")}
     n_contexts, n_pairs, size = meta["contexts"], meta["pairs"], meta["vocabulary"]
+    if not n_pairs:
+        return out
     heads = elias_fano.Sequence(part("contexts"), n_contexts, size).all()
     rank = np.minimum(np.searchsorted(heads, contexts), n_contexts - 1)
     known = np.flatnonzero(heads[rank] == contexts)
@@ -225,17 +262,10 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordB
     for _, parts in _blocks(batches, 0, model.block_tokens):
         ids, counts, _, which, _, inner = _paired(model, parts, False)
         c, w = which[inner - 1], which[inner]
-        often = (counts[c] >= LEAST_PAIR) & (counts[w] >= LEAST_PAIR)
-        c, w = ids[c[often]], ids[w[often]]
-        keys, n = np.unique(c.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_counts=True)
-        c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        of = np.zeros(model.vocabulary if model.vocabulary < 1 << 22 else 0, np.int64)
-        if len(of):
-            of[ids[ids >= 0]] = counts[ids >= 0]
-            own = of[c]
-        else:
-            order = np.argsort(ids, kind="stable")
-            own = counts[order[np.searchsorted(ids[order], c)]]
+        # Words are numbered by hash, as the block numbers them.
+        keys, n = np.unique(c << 32 | w, return_counts=True)
+        c, w = keys >> 32, keys & 0xFFFFFFFF
+        own, c, w = counts[c], ids[c], ids[w]
         to = model.shard(c, w, own)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(model.shards + 1))
@@ -257,10 +287,9 @@ def _write_pairs(group: pa.Table, root: str, vocabulary: int, tokens: int) -> pa
     heads, sizes, words, counts, totals = (_views(group.column(c), k) for c, k in (("heads", "<u4"), ("sizes", "<u4"), ("words", "<u4"), ("counts", "<u4"), ("totals", "<i8")))
     keys = [np.repeat(h.astype(np.uint64), k) << np.uint64(32) | w for h, k, w in zip(heads, sizes, words, strict=True)]
     keys, n = _summed(keys, counts)
-    keys, n = keys[n >= LEAST_PAIR], n[n >= LEAST_PAIR]
-    empty = pa.table({"contexts": pa.array([], pa.binary()), "masses": pa.array([], pa.binary())})
     if not len(keys):
-        return empty
+        put_arrays(f"{root}/pairs-{s}", {"codes": np.zeros(0, np.uint8)}, contexts=0, pairs=0, vocabulary=vocabulary, low=0.0, step=1.0)
+        return pa.table({"contexts": pa.array([], pa.binary()), "masses": pa.array([], pa.binary())})
     c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
     every, at = np.unique(np.concatenate(heads), return_index=True)
     total = np.concatenate(totals)[at]
@@ -285,6 +314,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], bases: list[int]) -> Iterator[
         for contexts, masses in zip(_views(batch.column(0), "<i8"), _views(batch.column(1), "<f8"), strict=True):
             cuts = np.searchsorted(contexts, edges)
             rows = [(b, contexts[lo:hi].tobytes(), masses[lo:hi].tobytes()) for b, lo, hi in zip(range(len(bases) - 1), cuts, cuts[1:], strict=False) if lo < hi]
+            if not rows:
+                continue
             b, *columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "contexts", "masses"])
 
@@ -316,8 +347,11 @@ def train(docs: DataFrame, text_col: str = "text", block_tokens: int = BLOCK_TOK
     if tokens:
         vocabulary = bases[-1]
         pairs = texts.mapInArrow(tidied(partial(_count_pairs, make=make)), "shard int, heads binary, sizes binary, words binary, counts binary, totals binary")
+        # A row without a pair for each shard, and below for each bucket, so that all have a file.
+        pairs = pairs.unionByName(spark.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("shard"), *(F.lit(b"").alias(c) for c in ("heads", "sizes", "words", "counts", "totals"))))
         masses = pairs.groupBy("shard").applyInArrow(lambda group: _write_pairs(group, root, vocabulary, tokens), "contexts binary, masses binary")
         rows = masses.mapInArrow(tidied(partial(_by_bucket, bases=bases)), "bucket int, contexts binary, masses binary")
+        rows = rows.unionByName(spark.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("contexts"), F.lit(b"").alias("masses")))
         rows.groupBy("bucket").applyInArrow(lambda group: _write_backoff(group, root, bases), "bucket int").collect()
     return make
 
@@ -335,10 +369,10 @@ def _score_texts(texts: list[str | None], model: _Model) -> tuple[np.ndarray, np
         logs = unigram[which].copy()
         c, w = which[inner - 1], which[inner]
         logs[inner] += weights[c]
-        often = np.flatnonzero((counts[c] >= LEAST_PAIR) & (counts[w] >= LEAST_PAIR) & (weights[c] < 0))
+        often = np.flatnonzero((counts[c] > 0) & (counts[w] > 0))
         if len(often):
-            keys, back = np.unique(c[often].astype(np.int64) * len(ids) + w[often], return_inverse=True)
-            kc, kw = keys // len(ids), keys % len(ids)
+            keys, back = np.unique(c[often] << 32 | w[often], return_inverse=True)
+            kc, kw = keys >> 32, keys & 0xFFFFFFFF
             found = model.pairs(ids[kc], ids[kw], counts[kc])
             both = np.log10(10.0**found + 10.0 ** (weights[kc] + unigram[kw]))[back]
             seen = ~np.isnan(both)

@@ -34,8 +34,11 @@ def put_arrays(uri: str, arrays: dict[str, np.ndarray], **meta) -> None:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(uri)
-        with system.open_output_stream(path) as out:
-            out.write(b"".join(data))
+        part = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            for x in data:
+                out.write(x)
+        system.move(part, path)
         return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}"

@@ -128,6 +128,19 @@ def test_one_of_each(spark):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == want
 
 
+def test_one_identifier_with_different_texts(spark):
+    t, u = cases.prose(1, 60), cases.prose(2, 60)
+    rows = [(3, t), (5, t + " x"), (5, u), (7, t), (7, t + " y"), (8, "a b"), (8, "A b"), (8, "A b")]
+    kept = Counter(map(tuple, jaccard_join.one_of_each(spark.createDataFrame(rows, cases.SCHEMA)).collect()))
+    assert Counter({(3, t): 1, (5, u): 1}) <= kept and sum(n for (i, _), n in kept.items() if i == 8) in (1, 2) and kept.total() - kept[8, "a b"] - kept[8, "A b"] == 2
+
+
+def test_text_identifiers(spark):
+    rows = [(f"d{k}", t) for k, (_, t) in enumerate(cases.TEXTS)]
+    got = jaccard_join.linked_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
+
+
 def test_jaccard_query_equals_sql(spark):
     assert rows_of(jaccard_join.query(spark, SF).toPandas()) == rows_of(duck().execute(jaccard_join.ORACLE).df())
 
@@ -175,14 +188,13 @@ def plain_scores(rows, discount=0.75):
     total, words = sum(one.values()), len(one)
     kept = Counter()
     for (c, _), n in two.items():
-        if n > 1:
-            kept[c] += (n - discount) / one[c]
+        kept[c] += (n - discount) / one[c]
     single = lambda w: (one[w] + 1) / (total + words + 1)
     for i, t in rows:
         w = tokens(t)
         score = math.log10(single(w[0]))
         for c, x in zip(w, w[1:], strict=False):
-            score += math.log10((max(0, two[c, x] - discount) / one[c] if two[c, x] > 1 else 0) + max(1e-6, 1 - kept[c]) * single(x))
+            score += math.log10((max(0, two[c, x] - discount) / one[c] if two[c, x] else 0) + max(1e-6, 1 - kept[c]) * single(x))
         yield i, out(i), len(w), sum(one[x] > 0 for x in w), total, sum(math.log10(single(x)) for x in w), score
 
 
@@ -209,6 +221,41 @@ def test_scores_in_small_blocks_with_spread_contexts(spark):
         assert (n[k], known[k]) == (w[2], w[3]) and base[k] == pytest.approx(w[5], rel=1e-9) and abs(score[k] - w[6]) <= 0.02 * w[2]
 
 
+def test_a_missing_shard_is_an_error(spark, tmp_path):
+    import os
+
+    rows = [(k, cases.prose(k, 80)) for k in range(40)]
+    make = language_model.train(spark.createDataFrame(rows, cases.SCHEMA))
+    texts = [t for _, t in rows]
+    language_model._score_texts(texts, make())
+    root = make().root.removeprefix("file:")
+    names = {n.split("-")[0] for n in os.listdir(root)}
+    assert names == {"words", "pairs", "backoff"}
+    for name in names:
+        gone = next(f"{root}/{n}" for n in sorted(os.listdir(root)) if n.startswith(name))
+        os.rename(gone, f"{tmp_path}/gone")
+        language_model._opened.cache_clear()
+        with pytest.raises(FileNotFoundError):
+            language_model._score_texts(texts, make())
+        os.rename(f"{tmp_path}/gone", gone)
+    language_model._opened.cache_clear()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 5000])
+@pytest.mark.parametrize("shift", [0, 7])
+def test_level_one_finds_its_words(n, shift):
+    rnd = np.random.default_rng(n)
+    hashes = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) >> np.uint64(shift))
+    counts = rnd.zipf(1.7, len(hashes)) % 100_000 + 1
+    level = language_model._level_one(hashes, counts)
+    others = rnd.integers(0, 1 << 63, 500, dtype=np.uint64)
+    place, found = language_model._find_words(level, np.concatenate([hashes, others]))
+    assert (place[: len(hashes)] == np.arange(len(hashes))).all() and (found[: len(hashes)] == counts).all()
+    assert (place[len(hashes) :] < 0).all() and (found[len(hashes) :] == 0).all()
+    if n >= 5000:
+        assert sum(x.nbytes for x in level.values()) < 9 * n
+
+
 def test_scores_without_training_text(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     rows = language_model.scored(cases.table(spark, [(i, "some words") for i in held])).collect()

@@ -215,6 +215,56 @@ def test_language_predictions(spark):
     assert got[1003]["lang_pred"] == "en" and got[None]["lang_pred"] == "de"
 
 
+def plain_bayes(rows):
+    """Multinomial naive Bayes written out: language and evidence of each text."""
+    hashed: dict[tuple, int] = {}
+
+    def bucket(gram):
+        if gram not in hashed:
+            h = 0
+            for n, point in enumerate(gram, 1):
+                h = (h ^ (point + n)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                h ^= h >> 29
+            hashed[gram] = (h >> 20) % language_id.BUCKETS
+        return hashed[gram]
+
+    def grams(text):
+        points = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()]
+        return Counter(bucket(tuple(points[i : i + n])) for n in (1, 2, 3) for i in range(len(points) - n + 1) if any(points[i : i + n]))
+
+    learned: dict[str, Counter] = {}
+    for i, t, g in rows:
+        if g is not None and t is not None and zlib.crc32(str("" if i is None else i).encode()) % 4 != 2 and grams(t):
+            learned.setdefault(g, Counter()).update(grams(t))
+    logs = {g: (c, np.log(c.total() + language_id.SMOOTHING * language_id.BUCKETS)) for g, c in learned.items()}
+    for _, t, _ in rows:
+        own = grams(t)
+        sums = {g: sum(n * (np.log(c[b] + language_id.SMOOTHING) - total) for b, n in own.items()) for g, (c, total) in sorted(logs.items())}
+        best = max(sums, key=sums.get) if own else "und"
+        yield best, 1 / sum(np.exp(x - sums[best]) for x in sums.values()) if own else 0.0, sums[best] / own.total() + np.log(language_id.BUCKETS) if own else 0.0
+
+
+def test_language_equals_plain_bayes(spark):
+    rnd = random.Random(5)
+    _, rows = labelled(spark, 120)
+    rows = [r for r in rows if r[0] != 1003] + [(2000 + k, "".join(rnd.choice("абвгдежзиклмн ") for _ in range(60)), None) for k in range(5)] + [(3000, rows[0][1], rows[0][2])] * 2 + [(3001, "x", "en"), (3002, "Ünï code ΣΣ", "xx")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, score string, evidence int").repartition(3)
+    want = Counter((i, g, round(float(p), 4), round(float(e), 3)) for (i, _, _), (g, p, e) in zip(rows, plain_bayes(rows), strict=True))
+    got = Counter((r["id"], r["lang_pred"], round(r["score"], 4), round(r["evidence"], 3)) for r in language_id.predicted(docs).collect())
+    assert got == want
+    kept = language_id.accepted(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, g, _, e in want.elements() if g != "und" and e > 0)
+    assert not any(2000 <= (r["doc_id"] or 0) < 2005 for r in kept.collect())
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 7)
+    rows = [(k, f"{chr(0x4E00 + k % 40) * 9} word", f"l{k % 40}") for k in range(400)]
+    got = language_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == f"l{r['id'] % 40}" for r in got)
+
+
 def test_language_never_uses_labels_of_the_scored(spark):
     docs, _ = labelled(spark)
     wrong = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
