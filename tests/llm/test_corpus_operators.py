@@ -305,16 +305,20 @@ def test_fixed_rules(spark):
     assert url_filter.judged(pages(spark, []), spark.createDataFrame([], LABELS)).count() == 0
 
 
-def plain_rules(rows, share, least, confidence, longest):
-    need = max(share * len(rows), least)
+def plain_rules(rows, longest):
+    """By enumeration of all token sets."""
+    share = sum(b for _, b in rows) / len(rows)
+    need = max(url_filter.MIN_SUPPORT * len(rows), url_filter.MIN_ROWS)
     sets, bad = Counter(), Counter()
     for tokens, b in rows:
         for n in range(1, longest + 1):
             for c in combinations(sorted(tokens), n):
                 sets[c] += 1
                 bad[c] += b
-    good = {c for c in sets if bad[c] >= need and bad[c] / sets[c] >= confidence}
-    return {c for c in good if not any(set(d) < set(c) for d in good)}
+    strong = lambda b, a: a > 0 and b / a >= url_filter.MIN_LIFT * share and (b / a - share) / math.sqrt(share * (1 - share) / a) >= url_filter.LEAST_Z
+    good = {c for c in sets if bad[c] >= need and strong(bad[c], sets[c])}
+    owed = {c for c in good for d in good if set(c) < set(d) and bad[d] * sets[c] > bad[c] * sets[d] and not strong(bad[c] - bad[d], sets[c] - sets[d])}
+    return {c for c in good - owed if not any(set(d) < set(c) for d in good - owed)}
 
 
 def test_rules_of_deep_segments_and_many_tokens(spark):
@@ -339,8 +343,39 @@ def test_mined_rules_equal_enumeration(spark):
     df = pages(spark, urls + [None, "http://spam.info/x"])
     got = url_filter.judged(df, spark.createDataFrame(labels[:700], LABELS)).collect()
     tokens = {r["id"]: set(r["tokens"]) for r in got}
-    rules = plain_rules([(tokens[k], (1 - q) | t) for k, q, t in labels[:700] if tokens[k]], 0.002, 20, 0.8, 4)
+    rules = plain_rules([(tokens[k], (1 - q) | t) for k, q, t in labels[:700] if tokens[k]], 9)
     assert rules and any(len(r) > 1 for r in rules)
     for r in got:
         assert r["rule"] is None and r["verdict"] == ("block" if any(set(x) <= tokens[r["id"]] for x in rules) else "allow")
     assert got[-1]["id"] is not None and {r["id"]: r["verdict"] for r in got}[901] == "block"
+
+
+def test_tokens_of_the_same_rows_are_one_item(spark):
+    """Ten query keys that always come together make one item and no 2^10 sets; a page with any of them is blocked."""
+    keys = "&".join(f"k{j}=1" for j in range(16))
+    urls = [f"http://a.info/x?{keys}"] * 40 + ["http://a.info/x?ref=1"] * 60 + ["http://b.info/y?k3=5", "http://b.info/y"]
+    labels = [(k, int(k >= 40), 0) for k in range(100)]
+    got = {r["id"]: r["verdict"] for r in url_filter.judged(pages(spark, urls), spark.createDataFrame(labels, LABELS)).collect()}
+    assert got[0] == "block" and got[50] == "allow" and got[100] == "block" and got[101] == "allow"
+    rows = url_filter.judged(pages(spark, urls), spark.createDataFrame(labels, LABELS)).join(spark.createDataFrame([(k, not q) for k, q, _ in labels], "id long, bad boolean"), "id").select("id", "tokens", "bad")
+    rules, items = url_filter.mined_rules(rows)
+    assert rules.count() == 1 and items.select("item").distinct().count() == 3
+
+
+def test_mined_verdicts_equal_sql(spark, tmp_path):
+    """The query's SQL over a table in which labels depend on the URL, with repeated rows, nulls and long URLs."""
+    import duckdb
+    import pandas as pd
+
+    rnd = random.Random(11)
+    urls = [f"http://{rnd.choice(['spam', 'www', 'm'])}.{rnd.choice('abc')}.info/{rnd.choice(['win', 'news'])}/{rnd.randrange(100)}{rnd.choice(['', '.html'])}{rnd.choice(['', '?ref=1'])}" for _ in range(400)]
+    urls += [None, "", "http://example.com/en/8", urls[0], urls[0], "http://spam.a.info/" + "x" * 20_000]
+    labels = [(k, int(not ((urls[k] or "").startswith("http://spam") and rnd.random() < 0.7)), int(rnd.random() < 0.1)) for k in range(0, 400, 2)]
+    pd.DataFrame({"page_id": range(len(urls)), "url": urls, "html": ""}).to_parquet(tmp_path / "pages.parquet")
+    pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(url_filter.ORACLE).df()
+    assert rows_of(url_filter.query(spark, str(tmp_path)).toPandas()) == rows_of(want)
+    assert 30 < (want["verdict"] == "block").sum() < 300
