@@ -12,7 +12,7 @@ classed as on any page.
 
 Defined results: a null or empty page has an empty text; character references are decoded, also without a semicolon;
 white space in a block becomes one space; blocks are joined in page order by one space; a tag that the page's end cuts
-off is markup. Very long pages are read whole. Repeated rows get equal results, an empty table an empty one; extra
+off is markup; of neighbours at equal distance a short block takes the earlier one. Very long pages are read whole. Repeated rows get equal results, an empty table an empty one; extra
 columns are ignored.
 """
 
@@ -54,6 +54,7 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_IN_ARTICLE = 70, 200, 0.12, 0.2,
 
 GOOD, NEAR, BRIEF, BAD = "good", "near-good", "short", "bad"
 # A tag of these closes an open p; p itself does too.
+_P_SCOPE = ("table", "td", "th", "caption", "button", "html")  # none outside of these
 _CLOSES_P = _BLOCK - {"br", "body", "html", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
 
 
@@ -101,7 +102,7 @@ class _Reader:
     def open(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
             self.flush()
-        if tag in _CLOSES_P and any(o.tag == "p" for o in self.stack[-3:]):
+        if tag in _CLOSES_P and self._last("p") > max(map(self._last, _P_SCOPE)):
             self.close("p", True)
         if tag == "a":
             self.links = 1
@@ -110,10 +111,10 @@ class _Reader:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1].tag == tag:
             self.cut(len(self.stack) - 1)
         top = self.stack[-1] if self.stack else _Open("", False, False)
-        named = tag not in ("html", "body") and attributes and _named(attributes)
-        boiler = top.boiler or bool(named and tag not in ("article", "main")) or tag in _DROPPED
+        named = tag not in ("html", "body") and bool(attributes) and _named(attributes, tag not in ("article", "main"))
+        boiler = top.boiler or named or tag in _DROPPED
         if tag in _BLOCK or tag in _DROPPED or named:
-            muted = top.muted or bool(named and tag not in _BLOCK and tag not in _DROPPED)
+            muted = top.muted or named and tag not in _BLOCK and tag not in _DROPPED
             self.places.setdefault(tag, []).append(len(self.stack))
             self.stack.append(_Open(tag, top.boiler if muted else boiler, top.article or not muted and tag in ("article", "main"), muted))
 
@@ -167,13 +168,14 @@ class _Reader:
         return self.blocks
 
 
-def _named(attributes: str) -> bool:
+def _named(attributes: str, by_name: bool) -> bool:
+    """Whether the attributes hide an element, or name a part that is no main text."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_NAMED.fullmatch(x) for x in value.split()):
+        if by_name and (name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_NAMED.fullmatch(x) for x in value.split())):
             return True
     return False
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -480,6 +481,8 @@ def test_html_without_article():
         ('<article><div>long text <span class="ad">x<div>y</div></span> more</div></article>', "long text more"),
         ('<article><p style="overflow:hidden">a</p><p><b data-id="toc" title=\'class="ad"\'>b</b></p><p data-x="role=menu hidden">c</p></article>', "a b c"),
         ('<article><div class="content no-sidebar"><p class="with-comments">a</p></div><p class="main-nav">b</p><p class="x AD-slot">c</p><p hidden>d</p></article>', "a"),
+        ("<article hidden>a</article><main><p>b</main>", "b"),
+        ("<article>" + "<p>x<section>" * 30 + "<nav>y</nav>z</article>", "x " * 30 + "z"),
         ("<div class=ad>" + "<div>" * 300 + "x" + "</ad>" * 300 + "</div>" * 301 + "<article>a</article>", "a"),
         ("<article><nav>" + "<div>" * 300 + "x</nav>b</article>", "b"),
     ],
@@ -497,6 +500,64 @@ def test_html_two_passes_beside_an_article():
     assert text == f"Title {good.strip()} {good.strip()}"
 
 
+class PlainReader(HTMLParser):
+    """The words of an article, less the parts that are boilerplate by tag or by class."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "meta", "link", "img", "input", "hr"):
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        if "article" in tags and not {"nav", "aside", "footer", "header", "form", "script", "style"} & set(tags) and not any(c in ("ad", "notice", "share", "comments") for _, c in self.open):
+            self.words += data.split()
+
+
+def plain_words(page):
+    reader = PlainReader()
+    reader.feed(page or "")
+    return Counter(reader.words)
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
+def test_html_recall_and_precision(spark, sf_dir):
+    """Word by word against a plain reading of the article; `<b>` that is never closed does no harm."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "html").collect()
+    got = {r["id"]: Counter(r["text"].split()) for r in html_extract.extracted(read(spark, sf_dir, "pages")).collect()}
+    want = {r["page_id"]: plain_words(r["html"]) for r in rows}
+    both = sum((got[k] & want[k]).total() for k in want)
+    assert both >= 0.99 * sum(c.total() for c in want.values()) and both >= 0.99 * sum(c.total() for c in got.values())
+
+
+def plain_classes(classes):
+    """The second pass, block by block."""
+    decided = [k for k, c in enumerate(classes) if c in (html_extract.GOOD, html_extract.BAD)]
+    out = []
+    for k, c in enumerate(classes):
+        left, right = max((d for d in decided if d < k), default=None), min((d for d in decided if d > k), default=None)
+        sides = [d is not None and classes[d] == html_extract.GOOD for d in (left, right)]
+        far = [len(classes) if left is None else k - left, 2 * len(classes) - k if right is None else right - k]
+        out.append(c == html_extract.GOOD if k in decided else sides[0] if sides[0] == sides[1] else c == html_extract.NEAR or sides[far[0] > far[1]])
+    return out
+
+
+def test_html_second_pass_by_brute_force():
+    rnd = random.Random(3)
+    kinds = [html_extract.GOOD, html_extract.BAD, html_extract.NEAR, html_extract.BRIEF]
+    for _ in range(3000):
+        classes = [rnd.choice(kinds[rnd.randrange(2) * 2 :]) for _ in range(rnd.randrange(12))]
+        assert html_extract.second_pass(classes) == plain_classes(classes), classes
+
+
 @pytest.mark.parametrize("cut", range(0, len(PAGE), 7))
 def test_html_cut_off_anywhere(cut):
     text = html_extract.main_text(PAGE[:cut])
