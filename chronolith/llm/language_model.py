@@ -5,7 +5,8 @@ Each shard writes its part of the trie to the shared folder. Level one holds the
 implied by a pointer per few words, 32 more bits tell them apart, counts take a byte with longer ones aside, and back-off
 weights are quantised. Level two holds, for the contexts of the shard, Elias-Fano pointers to their successors, the
 successors themselves, made monotone by adding context rank x vocabulary, and 8-bit quantised log-probabilities. Scoring
-memory-maps the levels and looks up each distinct pair of a block by searching the successors of its context. Every shard
+memory-maps the levels and looks up each distinct pair of a block by an Elias-Fano search for its context and then, relative
+to that, for the successor; a search reads one block of the upper part and a few lower parts, however large the level is. Every shard
 has a file, also an empty one, so a file that is not there is an error and never reads as "no such pair".
 
 p(w | c) = max(n(cw) - D, 0) / n(c) + b(c) p(w), where b(c) is the mass left over and p(w) = (n(w) + 1) / (N + V + 1). The
@@ -216,36 +217,35 @@ class _Model:
 
 
 def _successors(arrays: dict[str, np.ndarray], meta: dict, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Context-relative successor search for pairs sorted by context and word."""
+    """Context-relative successor search."""
     out = np.full(len(contexts), np.nan)
-    part = lambda name: {k: arrays[f"{name}.{k}"] for k in ("low", "high", "ones")}
-    n_contexts, n_pairs, size = meta["contexts"], meta["pairs"], meta["vocabulary"]
-    if not n_pairs:
+    if not meta["pairs"]:
         return out
-    heads = elias_fano.Sequence(part("contexts"), n_contexts, size).all()
-    rank = np.minimum(np.searchsorted(heads, contexts), n_contexts - 1)
-    known = np.flatnonzero(heads[rank] == contexts)
-    if not len(known):
-        return out
-    rank = rank[known]
-    touched, which = np.unique(rank, return_inverse=True)
-    pointers = elias_fano.Sequence(part("pointers"), n_contexts + 1, n_pairs + 1)
-    starts, ends = pointers.at(touched), pointers.at(touched + 1)
-    sizes = ends - starts
-    successors = elias_fano.Sequence(part("successors"), n_pairs, n_contexts * size)
-    if 8 * int(sizes.sum()) > n_pairs:
-        values, place = successors.all(), None
-    else:
-        place = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        values = successors.at(place)
-    wanted = touched[which] * size + words[known]
-    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-    hit = values[at] == wanted
-    codes = arrays["codes"][at[hit] if place is None else place[at[hit]]]
-    out[known[hit]] = meta["low"] + codes * meta["step"]
+    level = _levels(arrays, meta)
+    rank = level["contexts"].find(contexts)
+    known = np.flatnonzero(rank >= 0)
+    place = level["successors"].find(rank[known] * meta["vocabulary"] + words[known])
+    hit = place >= 0
+    out[known[hit]] = meta["low"] + arrays["codes"][place[hit]] * meta["step"]
     return out
 
 
+def _levels(arrays: dict[str, np.ndarray], meta: dict) -> dict[str, elias_fano.Sequence]:
+    n, pairs, size = meta["contexts"], meta["pairs"], meta["vocabulary"]
+    shape = {"contexts": (n, size), "pointers": (n + 1, pairs + 1), "successors": (pairs, n * size)}
+    return {name: elias_fano.Sequence({k: arrays[f"{name}.{k}"] for k in ("low", "high", "ones")}, *x) for name, x in shape.items()}
+
+
+def successors(arrays: dict[str, np.ndarray], meta: dict, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that follow a context in this shard, by number, and their log10 probabilities without back-off."""
+    level = _levels(arrays, meta) if meta["pairs"] else None
+    rank = int(level["contexts"].find(np.array([context]))[0]) if level else -1
+    if rank < 0:
+        return np.zeros(0, np.int64), np.zeros(0)
+    first, last = level["pointers"].at(np.array([rank, rank + 1])).tolist()
+    return level["successors"].at(np.arange(first, last)) - rank * meta["vocabulary"], meta["low"] + arrays["codes"][first:last] * meta["step"]
+
+
 # -- level two ------------------------------------------------------------------------------------------------------
 
 

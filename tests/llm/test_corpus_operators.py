@@ -169,6 +169,11 @@ def test_elias_fano(tmp_path, n, universe):
     s = elias_fano.Sequence(arrays, meta["n"], universe)
     places = rnd.integers(0, n, 500) if n else np.zeros(0, int)
     assert (s.all() == values).all() and (s.at(places) == values[places]).all()
+    single = np.unique(values)
+    s = elias_fano.Sequence(elias_fano.encode(single, universe), len(single), universe)
+    wanted = np.concatenate([single, rng_values := rnd.integers(0, universe, 500), np.array([0, universe - 1, universe, -1])])
+    where = {v: k for k, v in enumerate(single.tolist())}
+    assert s.find(wanted).tolist() == [where.get(v, -1) for v in wanted.tolist()] and len(rng_values) == 500
     if n >= 5000:
         assert sum(x.nbytes for x in arrays.values()) * 8 / n < 2.2 + math.log2(universe / n) + 1
 
@@ -221,6 +226,27 @@ def test_scores_in_small_blocks_with_spread_contexts(spark):
         assert (n[k], known[k]) == (w[2], w[3]) and base[k] == pytest.approx(w[5], rel=1e-9) and abs(score[k] - w[6]) <= 0.02 * w[2]
 
 
+def test_the_trie_lists_what_follows(spark):
+    rows = [(k, cases.prose(k % 7, 60)) for k in range(30)]
+    model = language_model.train(spark.createDataFrame(rows, cases.SCHEMA))()
+    pairs, ones = Counter(), Counter()
+    for _, t in rows:
+        w = [*t.encode().lower().split(), b"\n"]
+        ones.update(w)
+        pairs.update(zip(w, w[1:], strict=False))
+    numbers, _, _ = model.words(np.sort(np.array([language_model.xxhash.xxh3_64_intdigest(w) for w in ones], np.uint64)))
+    number = dict(zip(sorted(ones, key=language_model.xxhash.xxh3_64_intdigest), numbers.tolist(), strict=True))
+    name = {k: w for w, k in number.items()}
+    got = {}
+    for s in range(model.shards):
+        arrays, meta = language_model._opened(f"{model.root}/pairs-{s}")
+        for c in ones:
+            for w, log in zip(*(x.tolist() for x in language_model.successors(arrays, meta, number[c])), strict=True):
+                got[c, name[w]] = log
+    assert set(got) == set(pairs)
+    assert all(abs(got[c, w] - math.log10((n - 0.75) / ones[c])) < 0.02 for (c, w), n in pairs.items())
+
+
 def test_a_missing_shard_is_an_error(spark, tmp_path):
     import os
 
