@@ -58,42 +58,48 @@ class Sequence:
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, -1 where it is not in the sequence; for sequences without repeated values.
 
-        As many zeros as the value's upper part says stand before the ones of that upper part, which are a few.
+        As many zeros as the value's upper part says stand before the ones of that upper part; among these, ascending in
+        their lower parts, the value is found by bisection.
         """
         out = np.full(len(values), -1, np.int64)
         for lo in range(0, len(values), 1 << 16):
             self._find(np.asarray(values[lo : lo + (1 << 16)], np.int64), out[lo : lo + (1 << 16)])
         return out
 
-    def _find(self, values: np.ndarray, out: np.ndarray) -> None:
-        zeros = np.arange(len(self.ones)) * _BLOCK - self.ones
-        upper = values >> self.width
-        todo = np.flatnonzero((values >= 0) & (upper <= zeros[-1]) & (self.n > 0))
-        place = np.zeros(len(todo), np.int64)
-        some = np.flatnonzero(upper[todo] > 0)
-        rest = upper[todo[some]] - 1
-        block = np.searchsorted(zeros, rest, side="right") - 1
-        rest -= zeros[block]
-        words = np.asarray(self.high).view("<u8")
-        row = np.arange(len(some))
-        upto = np.cumsum(np.bitwise_count(~words.reshape(-1, _BLOCK // 64)[block]), axis=1, dtype=np.int64)
+    def _zero(self, rank: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        """Places of the zeros of given ranks in the upper part; `zeros` counts them before each block."""
+        block = np.searchsorted(zeros, rank, side="right") - 1
+        rest, row = rank - zeros[block], np.arange(len(rank))
+        upto = np.cumsum(np.bitwise_count(~np.asarray(self.high).view("<u8").reshape(-1, _BLOCK // 64)[block]), axis=1, dtype=np.int64)
         word = (upto <= rest[:, None]).sum(axis=1)
         rest -= np.where(word > 0, upto[row, word - 1], 0)
         data = ~np.asarray(self.high).reshape(-1, 8)[block * (_BLOCK // 64) + word]
         upto = np.cumsum(_ONES[data], axis=1, dtype=np.int64)
         byte = (upto <= rest[:, None]).sum(axis=1)
         rest -= np.where(byte > 0, upto[row, byte - 1], 0)
-        place[some] = block * _BLOCK + word * 64 + byte * 8 + _SELECT[data[row, byte], rest] + 1
-        lower, size = values[todo] & ((1 << self.width) - 1), len(self.high) * 8
-        open_ = np.arange(len(todo))
+        return block * _BLOCK + word * 64 + byte * 8 + _SELECT[data[row, byte], rest]
+
+    def _find(self, values: np.ndarray, out: np.ndarray) -> None:
+        zeros = np.arange(len(self.ones)) * _BLOCK - self.ones
+        upper = values >> self.width
+        todo = np.flatnonzero((values >= 0) & (upper <= zeros[-1]) & (self.n > 0))
+        upper, lower = upper[todo], values[todo] & ((1 << self.width) - 1)
+        bounds = np.concatenate([upper - 1, upper])
+        some = (bounds >= 0) & (bounds < zeros[-1])
+        place = np.where(bounds < 0, -1, len(self.high) * 8)
+        place[some] = self._zero(bounds[some], zeros)
+        low, high = place[: len(todo)] + 1 - upper, np.minimum(place[len(todo) :] - upper, self.n)
+        last = high.copy()
+        open_ = np.flatnonzero(low < high)
         while len(open_):
-            at = place[open_]
-            open_ = open_[(at < size) & (self.high[np.minimum(at, size - 1) >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)]
-            index = place[open_] - upper[todo[open_]]
-            same = self._low(index) == lower[open_]
-            out[todo[open_[same]]] = index[same]
-            open_ = open_[~same]
-            place[open_] += 1
+            middle = (low[open_] + high[open_]) >> 1
+            less = self._low(middle) < lower[open_]
+            low[open_] = np.where(less, middle + 1, low[open_])
+            high[open_] = np.where(less, high[open_], middle)
+            open_ = open_[low[open_] < high[open_]]
+        there = np.flatnonzero(low < last)
+        there = there[self._low(low[there]) == lower[there]]
+        out[todo[there]] = low[there]
 
     def at(self, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), np.int64)
