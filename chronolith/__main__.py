@@ -52,7 +52,6 @@ def main(argv: list[str] | None = None) -> int:
     index = IncrementalIndex.open(spark, a.index)
     if a.command in ("init", "update"):
         changes = read_log(spark, a.log) if a.log else live_changes(spark, a.repo or ".")
-        changes = changes.where("path is not null")
         if a.command == "init":
             index.reset()
             scale = choose_scale(changes, "ts", now).first()["scale"] if a.scale == "auto" else a.scale

@@ -132,11 +132,14 @@ def findings(touched: DataFrame, phases: DataFrame, connected: DataFrame, paired
     none = F.lit(None)
     single = rows.withColumn("rule", rule).where("rule is not null").select("diff_id", "rule", "module", deviation.cast("int").alias("deviation"), none.cast("string").alias("other"), none.cast("bigint").alias("lifetime"))
 
-    each = rows.where("phase is not null").groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("module", "phase", "bearing"))).alias("m"))
-    two = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = each.select("diff_id", F.explode(two).alias("p")).select("diff_id", *(F.col(f"p.{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("module", "phase", "bearing")))
+    # Pairs of a sensitive module with any other of the diff, by join: modules that are neither make none.
+    sensitive = F.col("phase").isin(STABILIZING, DECLINE) | F.col("bearing")
+    each = rows.where("phase is not null").select("diff_id", "module", "phase", "bearing", sensitive.alias("sensitive"))
+    one, two = (each.select("diff_id", *(F.col(c).alias(f"{side}_{c}") for c in ("module", "phase", "bearing", "sensitive"))) for side in ("one", "two"))
+    met = one.where("one_sensitive").join(two, "diff_id").where((F.col("one_module") < F.col("two_module")) | (F.col("one_module") > F.col("two_module")) & ~F.col("two_sensitive"))
+    up = F.col("one_module") < F.col("two_module")
+    both = met.select("diff_id", *(F.when(up if side == "a" else ~up, F.col(f"one_{c}")).otherwise(F.col(f"two_{c}")).alias(f"{side}_{c}") for side in "ab" for c in ("module", "phase", "bearing")))
     bearing = F.col("a_bearing") | F.col("b_bearing")
-    both = both.where(F.col("a_phase").isin(STABILIZING, DECLINE) | F.col("b_phase").isin(STABILIZING, DECLINE) | bearing)
     both = both.join(paired.select(F.col("module_a").alias("a_module"), F.col("module_b").alias("b_module"), "weight", "lifetime"), ["a_module", "b_module"], "left").na.fill(0, ["lifetime"])
     new, faded = F.col("lifetime") == 0, (F.col("lifetime") > 0) & (F.col("weight") < s.min_weight)
     first = F.col("a_phase") == STABILIZING

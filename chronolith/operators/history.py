@@ -23,11 +23,11 @@ def touches(changes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per commit and counted module, and one per commit for the files that no module counts (module null).
 
     Each carries the commit's own columns and totals (files, added and deleted over all its files; source_files; modules;
-    noise_reason). Files are added up before commits are brought together, so a huge commit moves one row per module.
+    noise_reason). A commit without files, a row with a null path, has none. Files are added up before commits are brought together, so a huge commit moves one row per module.
     """
     module = F.when(is_source(F.col("path")), module_of(F.col("path"), settings))
     rows = changes.withColumn("module", module).groupBy("hash", "module").agg(
-        *(F.first(c).alias(c) for c in _COMMIT), F.count(F.lit(1)).alias("m_files"), F.sum("added").cast("long").alias("m_added"), F.sum("deleted").cast("long").alias("m_deleted")
+        *(F.first(c).alias(c) for c in _COMMIT), F.count("path").alias("m_files"), F.coalesce(F.sum("added"), F.lit(0)).cast("long").alias("m_added"), F.coalesce(F.sum("deleted"), F.lit(0)).cast("long").alias("m_deleted")
     )
     commit = Window.partitionBy("hash")
     counted = F.col("module").isNotNull()

@@ -16,8 +16,6 @@ from ..operators.serve import Repository
 
 NOW = datetime(2001, 8, 15)
 SETTINGS = Settings()
-#: Orders from this day on are also taken as proposed changes.
-PROPOSED_FROM = "2001-07-25"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +72,8 @@ def repository(spark: SparkSession, sf_dir: str, store: bool = False) -> Reposit
 
 
 def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late orders as proposed changes: diff_id, path, added, deleted, is_deleted."""
-    rows = changes(spark, sf_dir).where(F.col("ts") >= F.lit(PROPOSED_FROM).cast("timestamp_ntz"))
-    return rows.select(F.col("hash").alias("diff_id"), "path", "added", "deleted", F.lit(False).alias("is_deleted"))
+    """Every order as a proposed change: diff_id, path, added, deleted, is_deleted."""
+    return changes(spark, sf_dir).select(F.col("hash").alias("diff_id"), "path", "added", "deleted", F.lit(False).alias("is_deleted"))
 
 
 def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ conn AS (
 status AS (SELECT *, CASE WHEN fan_in >= 1 OR partners >= 2 THEN 'load-bearing' ELSE 'isolated' END AS status FROM conn)"""
 
 _GATE = """,
-touched AS (SELECT hash AS diff_id, module, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted FROM changes WHERE ts >= TIMESTAMP '2001-07-25' AND NOT is_doc GROUP BY hash, module),
+touched AS (SELECT hash AS diff_id, module, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted FROM changes WHERE NOT is_doc GROUP BY hash, module),
 known AS (
   SELECT t.*, t.added - t.deleted AS net, CASE WHEN s.module IS NULL THEN NULL ELSE coalesce(p.phase, 'no_data') END AS phase, coalesce(s.status = 'load-bearing', FALSE) AS bearing
   FROM touched t LEFT JOIN status s ON s.module = t.module LEFT JOIN phases p ON p.module = t.module),
@@ -272,7 +272,7 @@ SELECT user_id::VARCHAR AS module, event_type AS rule, count(*) AS count, max((f
 WHERE event_type <> 'purchase' AND ts >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAYS GROUP BY 1, 2""",
     "gate_rules": f"WITH {_weights_of(_PHASES)}{_EDGES}{_CONNECTED}{_GATE} SELECT diff_id, rule, module, CASE WHEN rule LIKE 'SL-I%' THEN 'info' ELSE 'warn' END AS severity, deviation, other, coalesce(lifetime, -1) AS lifetime FROM found",
     "gate_verdicts": f"""
-WITH {_weights_of(_PHASES)}{_EDGES}{_CONNECTED}{_GATE}, d AS (SELECT DISTINCT hash AS diff_id FROM changes WHERE ts >= TIMESTAMP '2001-07-25')
+WITH {_weights_of(_PHASES)}{_EDGES}{_CONNECTED}{_GATE}, d AS (SELECT DISTINCT hash AS diff_id FROM changes)
 SELECT d.diff_id, CASE WHEN count(*) FILTER (rule LIKE 'SL-W%') > 0 THEN 'warn' ELSE 'ok' END AS verdict, coalesce(max(deviation), 0) AS deviation,
        coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (rule LIKE 'SL-W%'), '') AS rules_fired
 FROM d LEFT JOIN found f ON f.diff_id = d.diff_id GROUP BY d.diff_id""",

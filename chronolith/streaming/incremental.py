@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators.gate import RuleDeck, open_warnings, to_log
 from ..operators.serve import Repository
+from ..session import written
 
-_COLUMNS = "hash string, ts timestamp_ntz, author string, email string, subject string, path string, added bigint, deleted bigint"
+_COLUMNS = "hash string, ts timestamp_ntz, author string, email string, subject string, path string, added bigint, deleted bigint, old_path string"
 
 
 class IncrementalIndex:
@@ -37,6 +38,7 @@ class IncrementalIndex:
     def apply(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Appends the commits that are not there; usable as a foreachBatch function."""
         names = [c.split()[0] for c in _COLUMNS.split(", ")]
+        batch = batch if "old_path" in batch.columns else batch.withColumn("old_path", F.lit(None).cast("string"))
         new = batch.select(*(F.col(c) for c in names)).withColumn("year", F.year("ts")).where("hash is not null")
         years = [r["year"] for r in new.select("year").distinct().collect()]
         known = self.changes().where(F.col("year").isin(years)).select("hash").distinct()
@@ -70,7 +72,7 @@ class IncrementalIndex:
         """Decided findings of diffs, escalated by the log, which then holds their warnings too."""
         repo = self.repository(now, **more)
         judged = repo.check(files, deck, open_warnings(self.warnings(), repo.facts, now, self.settings))
-        rows = self.spark.createDataFrame(judged.collect(), judged.schema)  # findings of proposed changes, a handful
+        rows = written(judged, "judged")
         if record:
             self.record(rows, now)
         return rows

@@ -1,9 +1,11 @@
 """The corpus pipeline: language identification, exact and near deduplication, masking of personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Null texts have no recognised language and leave in the
-first stage; later stages treat a null text as empty. Rows with a null identifier are never dropped as copies. An empty
-table gives an empty result.
+stage's docs. All but the last return the columns of documents; further columns, also ones named like those that the
+operators use, are carried along to the last. Null texts have no recognised language and leave in the first stage; later
+stages treat a null text as empty. Very long texts go through whole. Rows with a null identifier are never dropped as
+copies, repeated rows of a document share its fate, and rows of one identifier with different texts are documents of
+their own. Ties between copies go by identifier. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from chronolith.llm.common import written
+from chronolith.llm.common import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id stays."""
+    """Of equal texts, the one with the largest doc_id stays, as in the query of the operator."""
     return exact_dedup.drop_copies(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    """Of each group of linked documents, the one with the smallest doc_id stays: the one that names the group."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -54,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:  # what the stage wrote on its way goes
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from chronolith.plans.oracles import ORACLES
-from chronolith.plans.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 from .helpers import SF, duck, rows_of
 
