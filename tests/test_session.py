@@ -16,13 +16,7 @@ import sys
 sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 from chronolith.operators import content
-from chronolith.session import shared_dir
 spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
-try:
-    shared_dir(spark)
-    print("a local folder")
-except RuntimeError:
-    print("refused")
 rows = spark.createDataFrame([("a/b/m.py", "x", "import os\\nclass A: pass\\n")], "path string, blob string, content string")
 print("classes", content.blob_metrics(rows).first()["classes"])
 """
@@ -31,7 +25,24 @@ print("classes", content.blob_metrics(rows).first()["classes"])
 def test_workers_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     run = subprocess.run([sys.executable, "-c", CLUSTER], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "refused" in run.stdout and "classes 1" in run.stdout, run.stderr[-2000:]
+    assert "classes 1" in run.stdout, run.stderr[-2000:]
+
+
+@pytest.mark.parametrize(("master", "refused"), [("local[4]", False), ("local-cluster[1,1,1024]", True), ("spark://host:7077", True), ("yarn", True)])
+def test_no_local_folder_on_a_cluster(master, refused):
+    from unittest.mock import Mock
+
+    from chronolith.session import shared_dir
+
+    made = []
+    context = Mock(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+    session = Mock(sparkContext=context, conf=Mock(get=lambda name, default=None: default))
+    if refused:
+        with pytest.raises(RuntimeError):
+            shared_dir(session)
+        assert not made
+    else:
+        assert shared_dir(session) == made[0]
 
 
 def test_scratch_tables_go(spark):
