@@ -81,9 +81,16 @@ class Repository:
     def connected(self) -> DataFrame:
         return packages.connectedness(self.periods, self.fans, self.all_partners, self.settings)
 
-    def check(self, files: DataFrame, deck: gate.RuleDeck = gate.RuleDeck(), log: DataFrame | None = None) -> DataFrame:
-        """Decided findings of diffs (diff_id, path, added, deleted, is_deleted); `log` has open warnings, see gate."""
+    @cached_property
+    def successors(self) -> DataFrame:
+        return gate.successors(self.phases, self.partners, self.edges)
+
+    def check(self, files: DataFrame, deck: gate.RuleDeck = gate.RuleDeck(), log: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame:
+        """Decided findings of diffs (diff_id, path, added, deleted, is_deleted); `log` has open warnings, see gate, and
+        `also` findings from elsewhere, as `gate.fail_safe` has them."""
         found = gate.findings(gate.diff_modules(files, self.settings), self.phases, self.connected, self.pair_sums, self.settings)
+        if also is not None:
+            found = found.unionByName(also)
         return gate.decided(found, deck, self.now.date(), log, self.settings)
 
     def context(self) -> DataFrame:
@@ -96,6 +103,14 @@ class Repository:
         rows = self.phases.withColumn("level", F.round("level", 2)).join(self.connected, "module", "left").join(listed, "module", "left").join(measured, "module", "left").join(package, "module", "left").join(seen, "module", "left").join(recent, "module", "left")
         return rows.withColumn("advice", advice(F.col("module"), F.col("phase"), F.col("status"), F.get("co_changes_with", F.lit(0))["partner"]))
 
+    def authority(self, files: DataFrame, judged: DataFrame) -> DataFrame:
+        """(diff_id, module): where each of the diffs that `check` judged may go freely."""
+        return gate.authority(gate.diff_modules(files, self.settings), self.phases, judged, self.partners)
+
+    def packets(self) -> DataFrame:
+        """The contexts, with the successor of each declining module."""
+        return self.context().join(self.successors, "module", "left")
+
     def overview(self) -> DataFrame:
         """One row per module: the phase map."""
         rows = self.phases.select("module", "phase", "since", "confidence", F.round("level", 2).alias("churn_level"), "churn_trend", "size_trend")

@@ -1,15 +1,18 @@
-"""Commit logs: text exports as DataFrames, and a live repository as a Spark data source."""
+"""Commit logs and trees: text exports as DataFrames, and a live repository as Spark data sources."""
 
 from __future__ import annotations
 
 import subprocess
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import renamed
+from ..session import ship_package
 
 #: Of `git log --reverse --no-merges -M --numstat` with this format: one record per commit.
 LOG_FORMAT = "%x1e%H%x1f%ct%x1f%an%x1f%ae%x1f%P%x1f%s"
@@ -84,5 +87,93 @@ class _LogReader(DataSourceReader):
 
 
 def live_changes(spark: SparkSession, repo: str, **options: str) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(GitLogSource)
     return changes_of(spark.read.format("gitlog").options(path=repo, **options).load(), F.col("value"))
+
+
+class GitTreeSource(DataSource):
+    """`spark.read.format("gittree").option("path", repo)`, with `revision`: (path, blob) of its files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gittree"
+
+    def schema(self) -> str:
+        return "path string, blob string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(dict(self.options))
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]  # names only; contents are read by all tasks
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+        command = ["git", "-C", self.options["path"], "ls-tree", "-r", "-z", "--full-tree", self.options.get("revision", "HEAD")]
+        for entry in subprocess.run(command, stdout=subprocess.PIPE, check=True).stdout.split(b"\0"):
+            about, _, path = entry.partition(b"\t")
+            if path and about.split()[1] == b"blob":
+                yield path.decode("utf-8", "replace"), about.split()[2].decode()
+
+
+def live_tree(spark: SparkSession, repo: str, revision: str = "HEAD") -> DataFrame:
+    """(path, blob) of the files of a revision, committed ones only."""
+    ship_package(spark)
+    spark.dataSource.register(GitTreeSource)
+    return spark.read.format("gittree").options(path=repo, revision=revision).load()
+
+
+def with_contents(files: DataFrame, repo: str) -> DataFrame:
+    """(path, blob) with the content, read by one long-lived process for each task; a blob that is gone has null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+
+            def content(blob: str) -> bytes | None:
+                git.stdin.write(blob.encode() + b"\n")
+                git.stdin.flush()
+                head = git.stdout.readline().split()
+                if not head:
+                    raise RuntimeError(f"git cat-file ended at {blob}")
+                return git.stdout.read(int(head[2]) + 1)[:-1] if len(head) == 3 else None
+
+            for batch in batches:
+                yield batch.assign(content=[content(b) for b in batch["blob"]])
+            git.stdin.close()
+
+    return files.select("path", "blob").mapInPandas(run, "path string, blob string, content binary")
+
+
+class ShallowHistory(RuntimeError):
+    """A truncated history gives wrong phases."""
+
+
+@dataclass(frozen=True)
+class CloneState:
+    """The head of a clone against a bookmark: `known` if the bookmark is an ancestor of the head, `behind` commits then."""
+
+    head: str
+    bookmark: str | None
+    shallow: bool
+    known: bool
+    behind: int | None
+
+    def freshness(self, spark: SparkSession) -> DataFrame:
+        """One row, as of `gate.freshness`, but by ancestry."""
+        stale, rewritten = not self.known or self.behind > 0, self.bookmark is not None and not self.known
+        return spark.createDataFrame([(self.head, self.bookmark, self.behind, stale, rewritten)], "head string, bookmark string, commits_behind bigint, stale boolean, rewritten boolean")
+
+
+def clone_state(repo: str, bookmark: str | None = None, until: str = "HEAD") -> CloneState:
+    def git(*args: str, check: bool = True) -> subprocess.CompletedProcess:
+        return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, check=check)
+
+    head = git("rev-parse", "--verify", f"{until}^{{commit}}").stdout.strip()
+    shallow = git("rev-parse", "--is-shallow-repository").stdout.strip() == "true"
+    known = bookmark is not None and git("merge-base", "--is-ancestor", bookmark, head, check=False).returncode == 0
+    return CloneState(head, bookmark, shallow, known, int(git("rev-list", "--count", f"{bookmark}..{head}").stdout) if known else None)
